@@ -1,0 +1,8 @@
+"""The registered queries of the reference's operators, and their SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def flagship(spark, sf_dir):
+    raise NotImplementedError
