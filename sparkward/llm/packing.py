@@ -22,24 +22,28 @@ from __future__ import annotations
 import time
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import numbered
+from ..plans.shared import numbered, written
 
 CAPACITY = 2048
 #: Entries of a worker's table of known chunks, and the longest chunk it keeps.
 KNOWN, LONGEST = 1 << 20, 48
+#: Marks that end a word, and the first letter whose lower case is left to the tokenizer (U+0250).
+MARKS, PLAIN = ".,;:!?", "\u0250"
 
 
 class ChunkIds(dict):
     """Chunk of text without spaces -> its ids as little-endian bytes, found by the tokenizer once.
 
     The tokenizer cuts at white space before it merges, so a text's ids are
-    those of its chunks in a row.
+    those of its chunks in a row. It also lowers letters and cuts between a
+    letter or digit and a mark, so that "Word," needs only "word" and ",".
     """
 
     def __init__(self, path: str):
@@ -49,7 +53,12 @@ class ChunkIds(dict):
         self._encode = Tokenizer.from_file(path).encode
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.asarray(self._encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(chunk) > 1 and chunk[-1] in MARKS and chunk[-2].isalnum():
+            ids = self[chunk[:-1]] + self[chunk[-1]]
+        elif chunk.isalpha() and max(chunk) < PLAIN and (low := chunk.lower()) != chunk:
+            ids = self[low]
+        else:
+            ids = np.asarray(self._encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         if len(chunk) <= LONGEST:
             if len(self) >= KNOWN:
                 self.clear()
@@ -61,13 +70,19 @@ class ChunkIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+@cache
+def known_ids(path: str) -> ChunkIds:
+    """One table for each Python worker; it serves all of the worker's tasks."""
+    return ChunkIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every text's ids and the closing id, cut at the capacity."""
     end = int(closing).to_bytes(4, "little")
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = ChunkIds(tokenizer)
+        ids = known_ids(tokenizer)
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -195,7 +210,7 @@ def _places(plan: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndarr
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing: int = 0, tries: int = 400) -> DataFrame:
     """The pieces of all texts with their sequence_id and offset."""
     spark = docs.sparkSession
-    ranked, totals = numbered(pieces(docs, tokenizer, capacity, closing), ["length"], ["doc_id", "piece", "ids_crc32"], "rank")
+    ranked, totals = numbered(written(pieces(docs, tokenizer, capacity, closing)), ["length"], ["doc_id", "piece", "ids_crc32"], "rank")
     places = spark.sparkContext.broadcast(_places(solve(dict(totals), capacity, tries)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
