@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash
+from . import lines, packing, quality, simhash
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = os.environ.get("SPARKWARD_TOKENIZERS", "/opt/tokenizers")
@@ -20,9 +20,17 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), words=3)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_quality, op4_packing, op5_lines)}
+ORACLES: dict[str, str] = {"op5_lines": lines.ORACLE}
