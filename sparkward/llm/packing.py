@@ -53,7 +53,7 @@ class ChunkIds(dict):
         self._encode = Tokenizer.from_file(path).encode
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) > 1 and chunk[-1] in MARKS and chunk[-2].isalnum():
+        if len(chunk) > 1 and chunk[-1] in MARKS and chunk[-2].isalnum() and chunk[-2] < PLAIN:
             ids = self[chunk[:-1]] + self[chunk[-1]]
         elif chunk.isalpha() and max(chunk) < PLAIN and (low := chunk.lower()) != chunk:
             ids = self[low]

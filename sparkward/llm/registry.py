@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, packing, quality, simhash
+from . import licenses, lines, packing, quality, simhash
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = os.environ.get("SPARKWARD_TOKENIZERS", "/opt/tokenizers")
@@ -32,5 +32,9 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_quality, op4_packing, op5_lines)}
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_quality, op4_packing, op5_lines, op8_licenses)}
 ORACLES: dict[str, str] = {"op5_lines": lines.ORACLE}
