@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, lines, packing, quality, simhash
+from . import licenses, lines, packing, quality, simhash, unigram
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = os.environ.get("SPARKWARD_TOKENIZERS", "/opt/tokenizers")
@@ -32,9 +32,17 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_quality, op4_packing, op5_lines, op8_licenses)}
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encoding_report(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_quality, op4_packing, op5_lines, op7_token_counts, op8_licenses, op9_sentencepiece)}
 ORACLES: dict[str, str] = {"op5_lines": lines.ORACLE}
