@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import licenses, lines, packing, quality, simhash, unigram
+from . import chat, licenses, lines, neighbours, packing, quality, simhash, unigram, urls
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = os.environ.get("SPARKWARD_TOKENIZERS", "/opt/tokenizers")
@@ -16,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0, k=20)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), words=3)
 
@@ -32,6 +38,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
@@ -44,5 +54,11 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encoding_report(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_quality, op4_packing, op5_lines, op7_token_counts, op8_licenses, op9_sentencepiece)}
-ORACLES: dict[str, str] = {"op5_lines": lines.ORACLE}
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.render(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_neighbours, op2_simhash, op3_quality, op4_packing, op5_lines, op6_urls, op7_token_counts, op8_licenses, op9_sentencepiece, op10_chat,
+)}
+ORACLES: dict[str, str] = {"op5_lines": lines.ORACLE, "op10_chat": chat.ORACLE}
