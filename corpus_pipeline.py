@@ -4,15 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkward.llm import packing, registry
+from sparkward.llm import lines, packing, quality, registry, simhash
 from sparkward.plans.shared import written
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.keep_good(docs)
+
+
+def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go from every text."""
+    return lines.without_boilerplate(docs)
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return simhash.keep_one(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The last stage: pieces of token sequences."""
     return packing.pack(docs, f"{registry.TOKENIZERS}/word_bpe_49k.json")
 
 
-STAGES = [("pack", pack)]
+STAGES = [("quality", keep_good), ("line dedup", cut_boilerplate), ("near-dedup", keep_one), ("packing", pack)]
+#: The model of the first stage and the tokenizer of the last can't be said in SQL.
 ORACLE_SQL = None
 
 
