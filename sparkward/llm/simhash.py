@@ -14,6 +14,15 @@ neighbours): two nodes are within 2 bits exactly if their balls of radius 1
 meet, and no ball key can be shared by more than 65 fingerprints, so the
 links of a crowded bucket come out in linear size, without listing its pairs.
 
+``keep_one`` is the corpus stage: documents whose sets of five-word shingles have
+a Jaccard similarity of 0.8 or more. A fingerprint of all five-word shingles
+would differ in ten bits of 64 at that similarity; one of the distinct two-word
+shingles differs in three or so, so that one, covered to radius 5 (63 tables),
+gives the candidates, and their exact similarity decides. Buckets of up to
+``SMALL`` texts give all their pairs; the texts of a larger one are each
+compared with its first and last text, in all 63 tables, which links a large
+group of near copies through its members without listing its pairs.
+
 Defined cases: a null or blank text has fingerprint zero, which links like any
 other; rows with a null doc_id keep their fingerprint and take the component of
 their class (null if the whole class has no id); repeated rows and repeated ids
@@ -84,7 +93,7 @@ def covering_masks(radius: int) -> list[int]:
 
 def _bucketed(nodes: DataFrame, radius: int) -> DataFrame:
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(covering_masks(radius))])
-    return nodes.select("fp", F.explode(tables).alias("b")).select("fp", "b.t", "b.key")
+    return nodes.select("*", F.explode(tables).alias("b")).select(*nodes.columns, "b.t", "b.key")
 
 
 def _apart(a: str, b: str) -> Column:
@@ -121,3 +130,82 @@ def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
     return fps.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size"
     )
+
+
+SMALL, RADIUS, SIMILARITY, SHINGLE = 32, 5, 0.8, 5
+
+
+def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
+    """(cls, fp) of distinct texts -> pairs of classes (u < v) within the radius, from shared buckets."""
+    one = F.struct("cls", "fp")
+    rows = _bucketed(nodes, radius)
+    sizes = written(rows.groupBy("t", "key").agg(F.count("*").alias("n"), F.min(one).alias("a"), F.max(one).alias("b")).where("n > 1"))
+    twos = sizes.where("n = 2").select("a", "b")
+    more = rows.join(sizes.where("n > 2"), ["t", "key"])
+    few = more.where(F.col("n") <= SMALL).groupBy("t", "key").agg(F.sort_array(F.collect_list(one)).alias("x"))
+    few = few.select(F.explode(F.expr("flatten(transform(x, (p, i) -> transform(slice(x, i + 2, size(x)), q -> struct(p as a, q as b))))")).alias("p")).select("p.a", "p.b")
+    many = more.where(F.col("n") > SMALL)
+    stars = many.select("a", one.alias("b")).union(many.select(one.alias("a"), F.col("b")))
+    pairs = twos.union(few).union(stars).where("a.cls < b.cls").where(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius)
+    return pairs.select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")).distinct()
+
+
+def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(cls, text) -> (cls, grams): the distinct shingles' 32-bit hashes, sorted, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = []
+            for text in b.column(1).cast(pa.binary()).to_pylist():
+                grams = set(shingle_slices(text or b"", words))
+                hashes = np.fromiter(map(xxh64_intdigest, grams), np.uint64, len(grams))
+                sets.append(np.unique((hashes >> np.uint64(32)).astype("<u4")).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["cls", "grams"])
+
+    return texts.select("cls", "text").mapInArrow(run, "cls long, grams binary")
+
+
+def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, left, right) pairs whose sets have at least the Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                    kept.append(False)
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(both >= similarity * (len(x) + len(y) - both))
+            yield b.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+
+    return pairs.select("u", "v", "left", "right").mapInArrow(run, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """(cls, root) of every distinct text with a near duplicate; cls is the text's XXH64, root the smallest of its component."""
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("cls", F.xxhash64("text"))
+    fps = written(fingerprints(texts.withColumnRenamed("cls", "doc_id"), 2, True))
+    nodes = written(fps.groupBy(F.col("doc_id").alias("cls")).agg(F.min("fp").alias("fp")))
+    pairs = written(_candidates(nodes, radius))
+    needed = pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls"))).distinct()
+    chosen = texts.join(needed, "cls", "left_semi").dropDuplicates(["cls"])
+    sets = written(_shingle_sets(chosen, SHINGLE))
+    left, right = sets.select(F.col("cls").alias("u"), F.col("grams").alias("left")), sets.select(F.col("cls").alias("v"), F.col("grams").alias("right"))
+    return connected_components(_similar(pairs.join(left, "u").join(right, "v"), similarity)).select(F.col("node").alias("cls"), "root")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest doc_id; the columns stay."""
+    own = docs.withColumn("__sim_cls", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).withColumn("__sim_id", F.col("doc_id").cast("long"))
+    roots = near_duplicates(docs, similarity, radius)
+    rows = own.groupBy(F.col("__sim_id").alias("id"), F.col("__sim_cls").alias("cls")).agg(F.count("*").alias("n"))
+    rows = written(rows.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    order = F.struct(F.col("id").isNull(), "id", "cls")
+    best = rows.groupBy("root").agg(F.min(order).alias("best"))
+    lost = rows.join(best, "root").where(~order.eqNullSafe(F.col("best"))).select("id", "cls")
+    out = own.join(lost, own["__sim_id"].eqNullSafe(lost["id"]) & (own["__sim_cls"] == lost["cls"]), "left_anti")
+    if rows.where("n > 1").limit(1).count():  # rows with the same id and the same text
+        out = out.dropDuplicates(["__sim_id", "__sim_cls"])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
