@@ -154,7 +154,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with the columns they came with."""
-    scored = written(_with_features(docs).withColumn(f"{OWN}votes", _votes(OWN)))
+    """The documents that are kept, with the columns they came with; features are worked out twice rather than texts written."""
+    scored = _with_features(docs).withColumn(f"{OWN}votes", _votes(OWN))
     posterior = _posterior(f"{OWN}votes", _model(scored))
     return scored.where(~_base_failed(OWN) & (posterior >= 0.5)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -15,13 +15,16 @@ meet, and no ball key can be shared by more than 65 fingerprints, so the
 links of a crowded bucket come out in linear size, without listing its pairs.
 
 ``keep_one`` is the corpus stage: documents whose sets of five-word shingles have
-a Jaccard similarity of 0.8 or more. A fingerprint of all five-word shingles
-would differ in ten bits of 64 at that similarity; one of the distinct two-word
-shingles differs in three or so, so that one, covered to radius 5 (63 tables),
-gives the candidates, and their exact similarity decides. Buckets of up to
-``SMALL`` texts give all their pairs; the texts of a larger one are each
-compared with its first and last text, in all 63 tables, which links a large
-group of near copies through its members without listing its pairs.
+a Jaccard similarity of 0.8 or more. A fingerprint of five-word shingles
+differs in ten bits of 64 at that similarity, beyond any covering; those of
+distinct words and of distinct word pairs differ in four or five. So the
+fingerprints ``PRINTS`` of those, each covered to radius 4 (31 tables), give the
+candidates, and their exact similarity decides. Every pair within the radius
+in one of them is a candidate; a similar pair that is beyond it in all of them is
+not found (README has the measured share). Buckets of up to ``SMALL`` texts
+give all their pairs; the texts of a larger one are each compared with its
+first and last text, in all tables, which links a large group of near copies
+through its members without listing its pairs.
 
 Defined cases: a null or blank text has fingerprint zero, which links like any
 other; rows with a null doc_id keep their fingerprint and take the component of
@@ -58,7 +61,7 @@ def shingle_slices(text: bytes, words: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)]
 
 
-def fingerprint(text: bytes, words: int, distinct: bool = False) -> int:
+def fingerprint(text: bytes, words: int, distinct: bool = False, seed: int = 42) -> int:
     """Unsigned 64-bit SimHash; a bit is set if it is set in over half of the hashes."""
     grams = shingle_slices(text, words)
     if distinct:
@@ -66,18 +69,18 @@ def fingerprint(text: bytes, words: int, distinct: bool = False) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, len(grams), BLOCK):
         part = grams[at : at + BLOCK]
-        hashes = np.fromiter(map(xxh64_intdigest, part, repeat(42)), np.uint64, len(part))
+        hashes = np.fromiter(map(xxh64_intdigest, part, repeat(seed)), np.uint64, len(part))
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(grams), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, distinct: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp) with fp as a signed long; one pass over the texts, in Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
-            fps = np.fromiter((fingerprint(t or b"", words, distinct) for t in texts), np.uint64, len(texts)).view(np.int64)
+            fps = np.fromiter((fingerprint(t or b"", words) for t in texts), np.uint64, len(texts)).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
@@ -93,7 +96,7 @@ def covering_masks(radius: int) -> list[int]:
 
 def _bucketed(nodes: DataFrame, radius: int) -> DataFrame:
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(covering_masks(radius))])
-    return nodes.select("*", F.explode(tables).alias("b")).select(*nodes.columns, "b.t", "b.key")
+    return nodes.select("fp", F.explode(tables).alias("b")).select("fp", "b.t", "b.key")
 
 
 def _apart(a: str, b: str) -> Column:
@@ -132,22 +135,41 @@ def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
     )
 
 
-SMALL, RADIUS, SIMILARITY, SHINGLE = 32, 5, 0.8, 5
+SMALL, RADIUS, SIMILARITY, SHINGLE = 32, 4, 0.8, 5
+#: (words, seed) of the fingerprints of distinct shingles that find candidates.
+PRINTS = ((1, 42), (2, 42), (1, 43))
+
+
+def _prints(texts: DataFrame) -> DataFrame:
+    """(cls, text) -> (cls, fp0, fp1, ...)."""
+    names = [f"fp{i}" for i in range(len(PRINTS))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = b.column(1).cast(pa.binary()).to_pylist()
+            fps = [np.fromiter((fingerprint(t or b"", w, True, s) for t in found), np.uint64, len(found)).view(np.int64) for w, s in PRINTS]
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, fps)], names=["cls", *names])
+
+    return texts.select("cls", "text").mapInArrow(run, "cls long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
-    """(cls, fp) of distinct texts -> pairs of classes (u < v) within the radius, from shared buckets."""
-    one = F.struct("cls", "fp")
-    rows = _bucketed(nodes, radius)
-    sizes = written(rows.groupBy("t", "key").agg(F.count("*").alias("n"), F.min(one).alias("a"), F.max(one).alias("b")).where("n > 1"))
-    twos = sizes.where("n = 2").select("a", "b")
-    more = rows.join(sizes.where("n > 2"), ["t", "key"])
-    few = more.where(F.col("n") <= SMALL).groupBy("t", "key").agg(F.sort_array(F.collect_list(one)).alias("x"))
-    few = few.select(F.explode(F.expr("flatten(transform(x, (p, i) -> transform(slice(x, i + 2, size(x)), q -> struct(p as a, q as b))))")).alias("p")).select("p.a", "p.b")
+    """(cls, fp0, ...) of distinct texts -> pairs of classes (u < v) from shared buckets, within the radius in some fingerprint."""
+    names = nodes.columns[1:]
+    masks = covering_masks(radius)
+    keys = F.array(*[F.xxhash64(F.lit(i * len(masks) + t), F.col(n).bitwiseAND(F.lit(m))) for i, n in enumerate(names) for t, m in enumerate(masks)])
+    rows = nodes.select("cls", F.explode(keys).alias("key"))
+    sizes = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("u"), F.max("cls").alias("v")).where("n > 1"))
+    more = rows.join(sizes.where("n > 2"), "key")
+    few = more.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("cls")).alias("x"))
+    few = few.select(F.explode(F.expr("flatten(transform(x, (p, i) -> transform(slice(x, i + 2, size(x)), q -> struct(p as u, q as v))))")).alias("p")).select("p.u", "p.v")
     many = more.where(F.col("n") > SMALL)
-    stars = many.select("a", one.alias("b")).union(many.select(one.alias("a"), F.col("b")))
-    pairs = twos.union(few).union(stars).where("a.cls < b.cls").where(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius)
-    return pairs.select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")).distinct()
+    stars = many.select("u", F.col("cls").alias("v")).union(many.select(F.col("cls").alias("u"), F.col("v")))
+    pairs = sizes.where("n = 2").select("u", "v").union(few).union(stars).where("u < v").distinct()
+    left = nodes.select(F.col("cls").alias("u"), *[F.col(n).alias(f"u_{n}") for n in names])
+    right = nodes.select(F.col("cls").alias("v"), *[F.col(n).alias(f"v_{n}") for n in names])
+    apart = F.least(*[F.bit_count(F.col(f"u_{n}").bitwiseXOR(F.col(f"v_{n}"))) for n in names])
+    return pairs.join(left, "u").join(right, "v").where(apart <= radius).select("u", "v")
 
 
 def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -186,8 +208,8 @@ def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(cls, root) of every distinct text with a near duplicate; cls is the text's XXH64, root the smallest of its component."""
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("cls", F.xxhash64("text"))
-    fps = written(fingerprints(texts.withColumnRenamed("cls", "doc_id"), 2, True))
-    nodes = written(fps.groupBy(F.col("doc_id").alias("cls")).agg(F.min("fp").alias("fp")))
+    fps = _prints(texts)
+    nodes = written(fps.groupBy("cls").agg(*[F.min(n).alias(n) for n in fps.columns[1:]]))
     pairs = written(_candidates(nodes, radius))
     needed = pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls"))).distinct()
     chosen = texts.join(needed, "cls", "left_semi").dropDuplicates(["cls"])
