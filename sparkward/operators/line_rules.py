@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.finding import finding, unfolded
+from ..functions.finding import finding
 from ..functions.text import cut, java, split_lines, strip
 
 LLM_REFERENCE = "https://owasp.org/www-project-top-10-for-large-language-model-applications/"
@@ -24,6 +26,8 @@ class Rule(NamedTuple):
     cwe: str
     owasp: str
     fix: str
+    #: Groups of words; a line without one of each group can't match, and the pattern is not tried on it.
+    needs: tuple[tuple[str, ...], ...] = ()
 
 
 # The rules' patterns and texts.
@@ -31,46 +35,60 @@ _INJECTION, _SUPPLY, _DISCLOSURE = "LLM01: Prompt Injection", "LLM05: Supply Cha
 RULES = [
     Rule("prompt-injection-override", "Instruction-override phrasing",
          r"(?i)\b(ignore|disregard|forget)\b[^.\n]{0,40}\b(all\s+)?(previous|prior|above|earlier|the\s+system|your)\b[^.\n]{0,20}\b(instruction|prompt|rule|direction|context)",
-         3, 1, "PROMPT_INJECTION", "CWE-77", _INJECTION, "Treat this text as untrusted data, not instructions; do not let file content steer the agent."),
+         3, 1, "PROMPT_INJECTION", "CWE-77", _INJECTION, "Treat this text as untrusted data, not instructions; do not let file content steer the agent.",
+         (("ignore", "disregard", "forget"), ("instruction", "prompt", "rule", "direction", "context"))),
     Rule("prompt-injection-new-instructions", "Injected 'new instructions' block",
          r"(?i)\b(new|updated|revised|real|actual)\s+(instruction|system\s+prompt|directive|task)s?\s*[:\-]",
-         2, 0, "PROMPT_INJECTION", "CWE-77", _INJECTION, "Do not follow instructions embedded in scanned/tool-returned content."),
+         2, 0, "PROMPT_INJECTION", "CWE-77", _INJECTION, "Do not follow instructions embedded in scanned/tool-returned content.",
+         (("instruction", "system", "directive", "task"), (":", "-"))),
     Rule("prompt-injection-role-hijack", "Role/authority hijack",
          r"(?i)\b(you\s+are\s+now|from\s+now\s+on\s+you|act\s+as\s+(an?\s+)?(unrestricted|jailbroken|dan|developer\s+mode)|do\s+anything\s+now|pretend\s+you\s+have\s+no\s+(rules|restrictions))\b",
-         3, 1, "PROMPT_INJECTION", "CWE-77", _INJECTION, "Reject role-reassignment attempts originating from data/content."),
+         3, 1, "PROMPT_INJECTION", "CWE-77", _INJECTION, "Reject role-reassignment attempts originating from data/content.",
+         (("now", "unrestricted", "jailbroken", "dan", "developer", "pretend"), ("you", "act", "anything", "pretend"))),
     Rule("prompt-injection-system-role", "Fake system/assistant role marker in data",
          r"(?im)^\s*(?:<\|?(system|assistant)\|?>|\[/?(system|inst)\]|###\s*system\s*:|system\s+prompt\s*:)",
-         2, 0, "PROMPT_INJECTION", "CWE-77", _INJECTION, "Strip chat-role delimiters from untrusted content before it reaches a model."),
+         2, 0, "PROMPT_INJECTION", "CWE-77", _INJECTION, "Strip chat-role delimiters from untrusted content before it reaches a model.",
+         (("system", "assistant", "inst]"),)),
     Rule("agent-directed-imperative", "Agent-directed imperative in content",
          r"(?i)\b(assistant|claude|chatgpt|gpt|copilot|the\s+ai|the\s+agent|the\s+model)\s*,?\s+(please\s+)?(run|execute|curl|wget|send|email|forward|delete|exfiltrate|post|upload|fetch|disable|ignore)\b",
-         3, 1, "PROMPT_INJECTION", "CWE-77", _INJECTION, "Content that addresses the agent by name and issues commands is a hostile-injection signal."),
+         3, 1, "PROMPT_INJECTION", "CWE-77", _INJECTION, "Content that addresses the agent by name and issues commands is a hostile-injection signal.",
+         (("assistant", "claude", "gpt", "copilot", "ai", "agent", "model"), ("run", "execute", "curl", "wget", "send", "email", "forward", "delete", "exfiltrate", "post", "upload", "fetch", "disable", "ignore"))),
     Rule("safety-bypass-instruction", "Instruction to disable safety / auto-approve",
          r"(?i)\b(auto[\-\s]?approve|disable\s+(the\s+)?(safety|guard|guardrail|confirmation|sandbox|protection)|bypass\s+(the\s+)?(gate|approval|permission|review|check)|skip\s+(the\s+)?(review|audit|confirmation|approval|permission)|without\s+(asking|confirmation|approval|human)|no\s+confirmation\s+needed)\b",
-         3, 1, "SAFETY_BYPASS", "CWE-807", _INJECTION, "An agent instruction that removes human approval or safety checks; require review before honoring it."),
+         3, 1, "SAFETY_BYPASS", "CWE-807", _INJECTION, "An agent instruction that removes human approval or safety checks; require review before honoring it.",
+         (("approve", "disable", "bypass", "skip", "without", "confirmation"),)),
     Rule("dangerous-permission-flag", "Dangerous agent/CLI permission flag",
          r"(?i)(--dangerously-skip-permissions|--yes-really|--no-verify\b|--disable-sandbox|--allow-all|acceptAll|autoApprove\s*[:=]\s*true)",
-         3, 1, "SAFETY_BYPASS", "CWE-250", _INJECTION, "Flags that skip permission prompts or verification should never be baked into shared config."),
+         3, 1, "SAFETY_BYPASS", "CWE-250", _INJECTION, "Flags that skip permission prompts or verification should never be baked into shared config.",
+         (("--", "acceptall", "autoapprove"),)),
     Rule("privilege-escalation", "Privilege escalation / world-writable",
          r"(?i)\b(sudo\s+\S|chmod\s+777|chmod\s+-R\s+777|run\s+as\s+root|setuid)\b",
-         2, 0, "SAFETY_BYPASS", "CWE-250", _INJECTION, "Avoid privilege escalation and world-writable permissions in automation."),
+         2, 0, "SAFETY_BYPASS", "CWE-250", _INJECTION, "Avoid privilege escalation and world-writable permissions in automation.",
+         (("sudo", "chmod", "root", "setuid"),)),
     Rule("remote-code-pipe", "Remote code execution via curl|sh",
          r"(?i)\b(curl|wget)\b[^\n|]{0,200}\|\s*(sudo\s+)?(sh|bash|zsh|python[0-9.]*|node|pwsh|powershell)\b",
-         3, 2, "EXFIL", "CWE-494", _SUPPLY, "Never pipe a remote script straight into a shell; download, review, pin a checksum, then run."),
+         3, 2, "EXFIL", "CWE-494", _SUPPLY, "Never pipe a remote script straight into a shell; download, review, pin a checksum, then run.",
+         (("curl", "wget"), ("|",))),
     Rule("powershell-download-exec", "PowerShell download-and-execute",
          r"(?i)(Invoke-Expression|iex)\b[^\n]{0,80}(Invoke-WebRequest|iwr|DownloadString|Net\.WebClient)",
-         3, 2, "EXFIL", "CWE-494", _SUPPLY, "Do not execute downloaded content; fetch, inspect, and verify before running."),
+         3, 2, "EXFIL", "CWE-494", _SUPPLY, "Do not execute downloaded content; fetch, inspect, and verify before running.",
+         (("iex", "invoke-expression"), ("invoke-webrequest", "iwr", "downloadstring", "net.webclient"))),
     Rule("sensitive-file-read", "Read of sensitive credential path",
          r"(?i)(~|\$HOME|%USERPROFILE%)?[/\\]?\.(aws/credentials|ssh/id_[a-z0-9]+|ssh/id_rsa|netrc|npmrc|docker/config\.json|kube/config|config/gcloud|gnupg)\b|\bid_rsa\b",
-         2, 0, "EXFIL", "CWE-200", _DISCLOSURE, "Confirm why credential files are accessed; agents/scripts should not read ~/.aws, ~/.ssh, etc."),
+         2, 0, "EXFIL", "CWE-200", _DISCLOSURE, "Confirm why credential files are accessed; agents/scripts should not read ~/.aws, ~/.ssh, etc.",
+         ((".aws/", ".ssh/", "netrc", "npmrc", "docker/", "kube/", "config/", "gnupg", "id_rsa"),)),
     Rule("env-exfil", "Environment dump sent to network",
          r"(?i)\b(printenv|env\b|os\.environ|process\.env|Get-ChildItem\s+env:)[^\n]{0,120}\b(curl|wget|fetch|requests\.(post|get)|Invoke-WebRequest|http\.client|axios|urllib)\b",
-         3, 1, "EXFIL", "CWE-200", _DISCLOSURE, "Sending environment variables to a network endpoint is a classic secret-exfiltration pattern."),
+         3, 1, "EXFIL", "CWE-200", _DISCLOSURE, "Sending environment variables to a network endpoint is a classic secret-exfiltration pattern.",
+         (("env", "os.environ"), ("curl", "wget", "fetch", "requests.", "invoke-webrequest", "http.client", "axios", "urllib"))),
     Rule("base64-exfil", "Base64-encoded data piped to network",
          r"(?i)\bbase64\b[^\n|]{0,60}\|[^\n]{0,60}\b(curl|wget|nc|ncat)\b",
-         3, 1, "EXFIL", "CWE-200", _DISCLOSURE, "Base64+network piping is often used to obfuscate exfiltrated data."),
+         3, 1, "EXFIL", "CWE-200", _DISCLOSURE, "Base64+network piping is often used to obfuscate exfiltrated data.",
+         (("base64",), ("|",), ("curl", "wget", "nc"))),
     Rule("dns-exfil", "Possible DNS exfiltration",
          r"(?i)\b(nslookup|dig|host)\b[^\n]{0,60}\$\(|\bcurl\b[^\n]{0,60}\.(?:oast|burpcollaborator|interact\.sh|requestbin)\b",
-         2, 0, "EXFIL", "CWE-200", _DISCLOSURE, "Dynamic hostname lookups can smuggle data out over DNS; verify the destination."),
+         2, 0, "EXFIL", "CWE-200", _DISCLOSURE, "Dynamic hostname lookups can smuggle data out over DNS; verify the destination.",
+         (("nslookup", "dig", "host", "curl"), ("$(", "oast", "burpcollaborator", "interact.sh", "requestbin"))),
 ]
 
 
@@ -83,11 +101,24 @@ def lines_of(files: DataFrame) -> DataFrame:
 def line_findings(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """The findings of line rules over files in scope; lines of over 6,000 characters are not read."""
     lines = lines_of(files.where("in_scope")).where(F.length("line") <= LONGEST)
+    # both steps: letters that only fold to ASCII by way of upper case are needed too
+    lines = lines.withColumn("folded", F.lower(F.upper("line")))
     hits = []
     for i, r in enumerate(rules):
-        made = finding(
-            "aisec", 6, rule=i, rule_id=r.rule_id, title=r.title, severity=r.severity, confidence=r.confidence, file=F.col("path"), line=F.col("line_no"), category=r.category,
-            description=r.title + ".", snippet=cut(strip(F.col("line")), 200), fix=r.fix, cwe=r.cwe, owasp=r.owasp, references=F.array(F.lit(LLM_REFERENCE)),
-        )
-        hits.append(F.when(F.col("line").rlike(java(r.pattern)), made))
-    return unfolded(lines, F.filter(F.array(*hits), lambda x: x.isNotNull()))
+        may = F.lit(True)
+        for group in r.needs:
+            may = may & reduce(or_, [F.contains("folded", F.lit(w)) for w in group])
+        # nested, because AND does not promise an order
+        hits.append(F.when(may, F.when(F.col("line").rlike(java(r.pattern)), F.lit(i))))
+    found = F.filter(F.array(*hits), lambda x: x.isNotNull())
+    rows = lines.select("path", "line_no", "line", F.explode(found).alias("i"))
+
+    def of(field: str):
+        return F.element_at(F.array(*[F.lit(getattr(r, field)) for r in rules]), F.col("i") + 1)
+
+    made = finding(
+        "aisec", 6, rule=F.col("i"), rule_id=of("rule_id"), title=of("title"), severity=of("severity"), confidence=of("confidence"), file=F.col("path"), line=F.col("line_no"),
+        category=of("category"), description=F.concat(of("title"), F.lit(".")), snippet=cut(strip(F.col("line")), 200), fix=of("fix"), cwe=of("cwe"), owasp=of("owasp"),
+        references=F.array(F.lit(LLM_REFERENCE)),
+    )
+    return rows.select(made.alias("f")).select("f.*")

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.finding import finding, unfolded
+from ..functions.finding import finding
 from ..functions.text import entropy, redact, redact_line, split_lines
 
 
@@ -65,34 +65,44 @@ def is_dummy(token: Column) -> Column:
 def secret_findings(files: DataFrame) -> DataFrame:
     """Findings of the secrets engine, redacted before they leave the row; its scope includes vendored folders."""
     lines = files.where("in_secret_scope").select("path", F.posexplode(split_lines("text")).alias("at", "line")).select("path", (F.col("at") + 1).alias("line_no"), "line")
-    lowered = F.when(F.col("path").rlike(TEST_PATH), 1).otherwise(2)
-
-    def made(i: int, rule: Column | str, title: str, severity: int, confidence, token: Column, description, specificity: int = 0) -> Column:
-        known = token.isin(DOCUMENTED)
-        return finding(
-            "secrets", 0, rule=i, rule_id=rule, title=title, severity=severity, confidence=confidence, file=F.col("path"), line=F.col("line_no"), category="SECRET",
-            description=description, snippet=redact_line(F.col("line"), token), fix="Revoke and rotate the credential, then load it from a secret store.", cwe="CWE-798",
-            owasp="A07:2021 Identification and Authentication Failures", specificity=specificity, filtered=known, filter_reason=F.when(known, IS_DOCUMENTED).otherwise(""),
-        )
+    none = F.array().cast("array<struct<i:int,token:string>>")
 
     def all_of(pattern: str) -> Column:
         return F.array_distinct(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)))
 
-    def of_provider(i: int, p: Provider) -> Column:
-        real = F.filter(all_of(p.pattern), lambda t: t.isin(DOCUMENTED) | ~is_dummy(t))
-        return F.transform(real, lambda t: made(i, p.rule_id, p.title, p.severity, lowered, t, F.concat(F.lit(p.title + " "), redact(t), F.lit(".")), p.specificity))
-
-    provided = [of_provider(i, p) for i, p in enumerate(PROVIDERS)]
-    named = F.filter(F.when(F.contains("line", F.lit(":")) | F.contains("line", F.lit("=")), all_of(NAMED)).otherwise(F.array().cast("array<string>")), lambda t: ~is_dummy(t))
-    bits = lambda t: F.format_number(entropy(t), 2)
-    assigned = F.transform(named, lambda t: made(
-        100, "hardcoded-secret-assignment", "Hard-coded secret assignment", 2, F.when(entropy(t) >= ASSIGNED_BITS, 1).otherwise(0), t,
-        F.concat(F.lit("A secret-named variable is assigned a literal (entropy "), bits(t), F.lit(" bits a character)."))))
-    tokens = F.filter(F.when(F.col("line").rlike(LONG), all_of(LONG)).otherwise(F.array().cast("array<string>")), lambda t: ~t.rlike(HARMLESS))
-    random = F.transform(F.filter(tokens, lambda t: (entropy(t) >= RANDOM_BITS) & ~is_dummy(t)), lambda t: made(
-        101, "high-entropy-string", "High-entropy string", 1, 0, t, F.concat(F.lit("A random-looking token (entropy "), bits(t), F.lit(" bits a character)."))))
+    def hits(i: int, tokens: Column) -> Column:
+        return F.transform(tokens, lambda t: F.struct(F.lit(i).alias("i"), t.alias("token")))
+
+    provided = F.concat(*[hits(i, F.filter(all_of(p.pattern), lambda t: t.isin(DOCUMENTED) | ~is_dummy(t))) for i, p in enumerate(PROVIDERS)])
+    named = F.filter(all_of(NAMED), lambda t: ~is_dummy(t))
+    long = F.filter(all_of(LONG), lambda t: ~t.rlike(HARMLESS))
     opened = lambda t: F.try_validate_utf8(F.try_to_binary(t, F.lit("base64")).cast("string"))
-    wrapped = F.transform(F.filter(tokens, lambda t: F.coalesce(opened(t).rlike(WRAPPED), F.lit(False))), lambda t: made(
-        102, "base64-wrapped-secret", "Secret inside base64", 3, 1, t, F.lit("A base64 string decodes to text with a credential in it.")))
-    none = F.filter(assigned, lambda x: F.lit(False))
-    return unfolded(lines, F.concat(F.when(F.col("line").rlike(GATE), F.concat(*provided)).otherwise(none), assigned, random, wrapped))
+    random = F.filter(long, lambda t: (entropy(t) >= RANDOM_BITS) & ~is_dummy(t))
+    wrapped = F.filter(long, lambda t: F.coalesce(opened(t).rlike(WRAPPED), F.lit(False)))
+    n = len(PROVIDERS)
+    found = F.concat(
+        F.when(F.col("line").rlike(GATE), provided).otherwise(none),
+        F.when(F.contains("line", F.lit(":")) | F.contains("line", F.lit("=")), hits(n, named)).otherwise(none),
+        F.when(F.col("line").rlike(LONG), F.concat(hits(n + 1, random), hits(n + 2, wrapped))).otherwise(none),
+    )
+    rows = lines.select("path", "line_no", "line", F.explode(found).alias("h")).select("path", "line_no", "line", "h.i", "h.token")
+    rows = rows.withColumns({"bits": entropy(F.col("token")), "known": F.col("token").isin(DOCUMENTED)})
+
+    def of(values: list) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("i") + 1)
+
+    bits = F.format_number("bits", 2)
+    own = F.when(F.col("i") == n, F.concat(F.lit("A secret-named variable is assigned a literal (entropy "), bits, F.lit(" bits a character).")))
+    own = own.when(F.col("i") == n + 1, F.concat(F.lit("A random-looking token (entropy "), bits, F.lit(" bits a character).")))
+    own = own.when(F.col("i") == n + 2, "A base64 string decodes to text with a credential in it.")
+    titles = [p.title for p in PROVIDERS] + ["Hard-coded secret assignment", "High-entropy string", "Secret inside base64"]
+    sure = F.when(F.col("i") < n, F.when(F.col("path").rlike(TEST_PATH), 1).otherwise(2))
+    sure = sure.when(F.col("i") == n, F.when(F.col("bits") >= ASSIGNED_BITS, 1).otherwise(0)).when(F.col("i") == n + 1, 0).otherwise(1)
+    made = finding(
+        "secrets", 0, rule=F.col("i"), rule_id=of([p.rule_id for p in PROVIDERS] + ["hardcoded-secret-assignment", "high-entropy-string", "base64-wrapped-secret"]), title=of(titles),
+        severity=of([p.severity for p in PROVIDERS] + [2, 1, 3]), confidence=sure, file=F.col("path"), line=F.col("line_no"), category="SECRET",
+        description=own.otherwise(F.concat(of(titles), F.lit(" "), redact(F.col("token")), F.lit("."))), snippet=redact_line(F.col("line"), F.col("token")),
+        fix="Revoke and rotate the credential, then load it from a secret store.", cwe="CWE-798", owasp="A07:2021 Identification and Authentication Failures",
+        specificity=of([p.specificity for p in PROVIDERS] + [0, 0, 0]), filtered=F.col("known"), filter_reason=F.when(F.col("known"), IS_DOCUMENTED).otherwise(""),
+    )
+    return rows.select(made.alias("f")).select("f.*")

@@ -156,7 +156,6 @@ def provably_inert(text: str, line: int) -> bool:
         return False
 
 
-@F.pandas_udf("array<int>")
 def inert_lines(text: pd.Series, lines: pd.Series) -> pd.Series:
     """Of the given lines of a file, those that are provably inert; a file is parsed once."""
 
@@ -181,7 +180,7 @@ def suppress(findings: DataFrame, files: DataFrame, marker: str = MARKER) -> Dat
     )
     context = files.select(F.col("path").alias("file"), "text").join(asked, "file").withColumn("lines", split_lines("text"))
     context = context.withColumn("labels", F.when(F.col("behaviour"), line_labels(F.col("lines"), F.col("file"))))
-    python = context.where(F.col("behaviour") & F.col("file").endswith(".py")).select("file", inert_lines("text", "asked").alias("inert"))
+    python = context.where(F.col("behaviour") & F.col("file").endswith(".py")).select("file", F.pandas_udf(inert_lines, "array<int>")("text", "asked").alias("inert"))
     context = context.drop("text", "asked", "behaviour").join(python, "file", "left")
     rows = findings.join(context, "file", "left")
     n = F.col("line")

