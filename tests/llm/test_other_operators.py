@@ -39,8 +39,9 @@ def test_neighbours_with_ties_and_bad_vectors(spark, monkeypatch, exact):
     assert set(got) == set(want)
     if exact:
         assert got == want
-    else:
-        assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+    else:  # windows alone: true scores in order, and most of what there is to find
+        assert all(s == (good[q] * good[i]).sum() and i != q for q, found in got.items() for i, s in found)
+        assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) > 0.5 * 5 * len(want)
 
 
 def test_neighbours_of_few_and_none(spark):
