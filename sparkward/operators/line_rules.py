@@ -6,7 +6,7 @@ from functools import reduce
 from operator import or_
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.finding import finding
@@ -98,22 +98,26 @@ def lines_of(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(split_lines("text")).alias("at", "line")).select("path", (F.col("at") + 1).alias("line_no"), "line")
 
 
-def line_findings(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """The findings of line rules over files in scope; lines of over 6,000 characters are not read."""
-    lines = lines_of(files.where("in_scope")).where(F.length("line") <= LONGEST)
+def rule_hits(rules: list[Rule] = RULES) -> Column:
+    """Numbers of the rules that column ``line`` matches; none for lines of over 6,000 characters."""
     # both steps: letters that only fold to ASCII by way of upper case are needed too
-    lines = lines.withColumn("folded", F.lower(F.upper("line")))
+    folded = F.lower(F.upper("line"))
     hits = []
     for i, r in enumerate(rules):
         may = F.lit(True)
         for group in r.needs:
-            may = may & reduce(or_, [F.contains("folded", F.lit(w)) for w in group])
+            may = may & reduce(or_, [F.contains(folded, F.lit(w)) for w in group])
         # nested, because AND does not promise an order
         hits.append(F.when(may, F.when(F.col("line").rlike(java(r.pattern)), F.lit(i))))
     found = F.filter(F.array(*hits), lambda x: x.isNotNull())
-    rows = lines.select("path", "line_no", "line", F.explode(found).alias("i"))
+    return F.when(F.length("line") <= LONGEST, found).otherwise(F.array().cast("array<int>"))
+
+
+def from_rule_hits(rows: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """(path, line_no, line, rules) -> findings."""
+    rows = rows.select("path", "line_no", "line", F.explode("rules").alias("i"))
 
-    def of(field: str):
+    def of(field: str) -> Column:
         return F.element_at(F.array(*[F.lit(getattr(r, field)) for r in rules]), F.col("i") + 1)
 
     made = finding(
@@ -122,3 +126,8 @@ def line_findings(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
         references=F.array(F.lit(LLM_REFERENCE)),
     )
     return rows.select(made.alias("f")).select("f.*")
+
+
+def line_findings(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """The findings of line rules over files in scope."""
+    return from_rule_hits(lines_of(files.where("in_scope")).withColumn("rules", rule_hits(rules)), rules)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.finding import finding
-from ..functions.text import entropy, redact, redact_line, split_lines
+from ..functions.text import entropy, redact, redact_line
+from .line_rules import lines_of
 
 
 class Provider(NamedTuple):
@@ -62,9 +63,8 @@ def is_dummy(token: Column) -> Column:
     return token.rlike(PLACEHOLDER) | (F.size(F.array_distinct(F.split(token, ""))) < 6)
 
 
-def secret_findings(files: DataFrame) -> DataFrame:
-    """Findings of the secrets engine, redacted before they leave the row; its scope includes vendored folders."""
-    lines = files.where("in_secret_scope").select("path", F.posexplode(split_lines("text")).alias("at", "line")).select("path", (F.col("at") + 1).alias("line_no"), "line")
+def secret_hits() -> Column:
+    """(rule number, token) of every credential in column ``line``."""
     none = F.array().cast("array<struct<i:int,token:string>>")
 
     def all_of(pattern: str) -> Column:
@@ -80,12 +80,17 @@ def secret_findings(files: DataFrame) -> DataFrame:
     random = F.filter(long, lambda t: (entropy(t) >= RANDOM_BITS) & ~is_dummy(t))
     wrapped = F.filter(long, lambda t: F.coalesce(opened(t).rlike(WRAPPED), F.lit(False)))
     n = len(PROVIDERS)
-    found = F.concat(
+    return F.concat(
         F.when(F.col("line").rlike(GATE), provided).otherwise(none),
         F.when(F.contains("line", F.lit(":")) | F.contains("line", F.lit("=")), hits(n, named)).otherwise(none),
         F.when(F.col("line").rlike(LONG), F.concat(hits(n + 1, random), hits(n + 2, wrapped))).otherwise(none),
     )
-    rows = lines.select("path", "line_no", "line", F.explode(found).alias("h")).select("path", "line_no", "line", "h.i", "h.token")
+
+
+def from_secret_hits(rows: DataFrame) -> DataFrame:
+    """(path, line_no, line, secrets) -> findings, redacted."""
+    n = len(PROVIDERS)
+    rows = rows.select("path", "line_no", "line", F.explode("secrets").alias("h")).select("path", "line_no", "line", "h.i", "h.token")
     rows = rows.withColumns({"bits": entropy(F.col("token")), "known": F.col("token").isin(DOCUMENTED)})
 
     def of(values: list) -> Column:
@@ -106,3 +111,8 @@ def secret_findings(files: DataFrame) -> DataFrame:
         specificity=of([p.specificity for p in PROVIDERS] + [0, 0, 0]), filtered=F.col("known"), filter_reason=F.when(F.col("known"), IS_DOCUMENTED).otherwise(""),
     )
     return rows.select(made.alias("f")).select("f.*")
+
+
+def secret_findings(files: DataFrame) -> DataFrame:
+    """Findings of the secrets engine; its scope includes vendored folders."""
+    return from_secret_hits(lines_of(files.where("in_secret_scope")).withColumn("secrets", secret_hits()))

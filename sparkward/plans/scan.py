@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.finding import ENGINES, empty
 from ..operators import gate, sast, sca
-from ..operators.file_rules import file_findings
+from ..functions.text import split_lines
+from ..operators.file_rules import from_mixed_words, from_unicode_hits, mixed_words, named_file_findings, special, unicode_hits
 from ..operators.interpret import interpret
-from ..operators.line_rules import line_findings
-from ..operators.secrets import secret_findings
+from ..operators.line_rules import from_rule_hits, rule_hits
+from ..operators.secrets import from_secret_hits, secret_findings, secret_hits
 from ..operators.suppress import suppress
 from ..sources.files import code_files
 from .shared import written
@@ -40,13 +41,34 @@ class Result:
     secret_file_count: int | None
 
 
-def aisec_findings(files: DataFrame) -> DataFrame:
-    return line_findings(files).unionByName(file_findings(files))
+def _marked(files: DataFrame, engines: tuple[str, ...]) -> DataFrame:
+    """Lines with a hit of any line-level detector: the texts are read once for all of them."""
+    lines = files.select("path", "in_scope", "in_secret_scope", F.posexplode(split_lines("text")).alias("at", "line"))
+    lines = lines.withColumn("line_no", F.col("at") + 1)
+    hits = {}
+    if "aisec" in engines:
+        ours = {"rules": rule_hits(), "mixed": mixed_words(), **unicode_hits()}
+        hits |= {n: F.when(F.col("in_scope"), c) for n, c in ours.items()}
+    if "secrets" in engines:
+        hits |= {"secrets": F.when(F.col("in_secret_scope"), secret_hits())}
+    # the row number keeps Catalyst from matching every line twice, once in the filter
+    marked = lines.select("path", "line_no", "line", *[c.alias(n) for n, c in hits.items()], F.monotonically_increasing_id().alias("row"))
+    some = F.lit(False)
+    for n in hits:
+        some = some | F.coalesce(F.size(n) > 0 if n in ("rules", "mixed", "secrets") else F.col(n) > 0 if n == "tags" else F.col(n).isNotNull(), F.lit(False))
+    return written(marked.where((F.col("row") >= 0) & some).drop("row"))
+
+
+def aisec_findings(files: DataFrame, marked: DataFrame | None = None) -> DataFrame:
+    marked = _marked(files, ("aisec",)) if marked is None else marked
+    named = written(special(files))
+    return from_rule_hits(marked).unionByName(from_mixed_words(marked)).unionByName(from_unicode_hits(marked)).unionByName(named_file_findings(named))
 
 
 def detect(files: DataFrame) -> DataFrame:
-    """What the two text engines find, before any suppression."""
-    return secret_findings(files).unionByName(aisec_findings(files))
+    """What the two text engines find, before any suppression: one pass over all lines, one over the named files."""
+    marked = _marked(files, ("secrets", "aisec"))
+    return from_secret_hits(marked).unionByName(aisec_findings(files, marked))
 
 
 def findings_of(files: DataFrame) -> DataFrame:
