@@ -23,7 +23,7 @@ candidates, and their exact similarity decides. Every pair within the radius
 in one of them is a candidate; a similar pair that is beyond it in all of them is
 not found (README has the measured share). Buckets of up to ``SMALL`` texts
 give all their pairs; the texts of a larger one are each compared with its
-first and last text, in all tables, which links a large group of near copies
+first text, in all tables, which links a large group of near copies
 through its members without listing its pairs.
 
 Defined cases: a null or blank text has fingerprint zero, which links like any
@@ -135,7 +135,9 @@ def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
     )
 
 
-SMALL, RADIUS, SIMILARITY, SHINGLE = 32, 4, 0.8, 5
+SMALL, RADIUS, SIMILARITY, SHINGLE = 4, 4, 0.8, 5
+#: Crowded keys (32 bytes each) that are broadcast; beyond it they are joined by a shuffle.
+MANY_KEYS = 1_000_000
 #: (words, seed) of the fingerprints of distinct shingles that find candidates.
 PRINTS = ((1, 42), (2, 42), (1, 43))
 
@@ -160,11 +162,12 @@ def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
     keys = F.array(*[F.xxhash64(F.lit(i * len(masks) + t), F.col(n).bitwiseAND(F.lit(m))) for i, n in enumerate(names) for t, m in enumerate(masks)])
     rows = nodes.select("cls", F.explode(keys).alias("key"))
     sizes = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("u"), F.max("cls").alias("v")).where("n > 1"))
-    more = rows.join(sizes.where("n > 2"), "key")
+    crowded = sizes.where("n > 2")
+    # few keys are crowded: they go to the rows while they are few, else the rows are dealt by key; the outcome is the same
+    more = rows.join(F.broadcast(crowded) if crowded.limit(MANY_KEYS + 1).count() <= MANY_KEYS else crowded, "key")
     few = more.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("cls")).alias("x"))
     few = few.select(F.explode(F.expr("flatten(transform(x, (p, i) -> transform(slice(x, i + 2, size(x)), q -> struct(p as u, q as v))))")).alias("p")).select("p.u", "p.v")
-    many = more.where(F.col("n") > SMALL)
-    stars = many.select("u", F.col("cls").alias("v")).union(many.select(F.col("cls").alias("u"), F.col("v")))
+    stars = more.where(F.col("n") > SMALL).select("u", F.col("cls").alias("v"))
     pairs = sizes.where("n = 2").select("u", "v").union(few).union(stars).where("u < v").distinct()
     left = nodes.select(F.col("cls").alias("u"), *[F.col(n).alias(f"u_{n}") for n in names])
     right = nodes.select(F.col("cls").alias("v"), *[F.col(n).alias(f"v_{n}") for n in names])
