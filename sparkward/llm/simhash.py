@@ -136,7 +136,7 @@ def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 SMALL, RADIUS, SIMILARITY, SHINGLE = 4, 4, 0.8, 5
-#: Crowded keys (32 bytes each) that are broadcast; beyond it they are joined by a shuffle.
+#: Rows of a table of keys (32 bytes each at most) that are broadcast; beyond it they are joined by a shuffle.
 MANY_KEYS = 1_000_000
 #: (words, seed) of the fingerprints of distinct shingles that find candidates.
 PRINTS = ((1, 42), (2, 42), (1, 43))
@@ -155,6 +155,11 @@ def _prints(texts: DataFrame) -> DataFrame:
     return texts.select("cls", "text").mapInArrow(run, "cls long, " + ", ".join(f"{n} long" for n in names))
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """A written table of keys, broadcast while it is small by count, so that the other side stays where it is; else both are shuffled, with the same outcome."""
+    return F.broadcast(keys) if keys.limit(MANY_KEYS + 1).count() <= MANY_KEYS else keys
+
+
 def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
     """(cls, fp0, ...) of distinct texts -> pairs of classes (u < v) from shared buckets, within the radius in some fingerprint."""
     names = nodes.columns[1:]
@@ -163,8 +168,7 @@ def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
     rows = nodes.select("cls", F.explode(keys).alias("key"))
     sizes = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("u"), F.max("cls").alias("v")).where("n > 1"))
     crowded = sizes.where("n > 2")
-    # few keys are crowded: they go to the rows while they are few, else the rows are dealt by key; the outcome is the same
-    more = rows.join(F.broadcast(crowded) if crowded.limit(MANY_KEYS + 1).count() <= MANY_KEYS else crowded, "key")
+    more = rows.join(_small(crowded), "key")
     few = more.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("cls")).alias("x"))
     few = few.select(F.explode(F.expr("flatten(transform(x, (p, i) -> transform(slice(x, i + 2, size(x)), q -> struct(p as u, q as v))))")).alias("p")).select("p.u", "p.v")
     stars = more.where(F.col("n") > SMALL).select("u", F.col("cls").alias("v"))
@@ -215,7 +219,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, radius: int
     nodes = written(fps.groupBy("cls").agg(*[F.min(n).alias(n) for n in fps.columns[1:]]))
     pairs = written(_candidates(nodes, radius))
     needed = pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls"))).distinct()
-    chosen = texts.join(needed, "cls", "left_semi").dropDuplicates(["cls"])
+    chosen = texts.join(_small(written(needed)), "cls", "left_semi").dropDuplicates(["cls"])
     sets = written(_shingle_sets(chosen, SHINGLE))
     left, right = sets.select(F.col("cls").alias("u"), F.col("grams").alias("left")), sets.select(F.col("cls").alias("v"), F.col("grams").alias("right"))
     return connected_components(_similar(pairs.join(left, "u").join(right, "v"), similarity)).select(F.col("node").alias("cls"), "root")
@@ -229,7 +233,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADI
     rows = written(rows.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
     order = F.struct(F.col("id").isNull(), "id", "cls")
     best = rows.groupBy("root").agg(F.min(order).alias("best"))
-    lost = rows.join(best, "root").where(~order.eqNullSafe(F.col("best"))).select("id", "cls")
+    lost = _small(written(rows.join(best, "root").where(~order.eqNullSafe(F.col("best"))).select("id", "cls")))
     out = own.join(lost, own["__sim_id"].eqNullSafe(lost["id"]) & (own["__sim_cls"] == lost["cls"]), "left_anti")
     if rows.where("n > 1").limit(1).count():  # rows with the same id and the same text
         out = out.dropDuplicates(["__sim_id", "__sim_cls"])
