@@ -19,12 +19,15 @@ a Jaccard similarity of 0.8 or more. A fingerprint of five-word shingles
 differs in ten bits of 64 at that similarity, beyond any covering; those of
 distinct words and of distinct word pairs differ in four or five. So the
 fingerprints ``PRINTS`` of those, each covered to radius 4 (31 tables), give the
-candidates, and their exact similarity decides. Every pair within the radius
-in one of them is a candidate; a similar pair that is beyond it in all of them is
-not found (README has the measured share). Buckets of up to ``SMALL`` texts
-give all their pairs; the texts of a larger one are each compared with its
-first text, in all tables, which links a large group of near copies
-through its members without listing its pairs.
+candidates, and their exact similarity decides. A similar pair within the radius
+in one of them always ends in one component; a similar pair that is beyond it in
+all of them may not be found (README has the measured share). Buckets of up to ``SMALL``
+texts give all their pairs. The texts of a larger one are first compared with its
+first text, which joins most of a large group of near copies. Where that leaves
+more than one component in a bucket, all its texts go through an exact join of their
+shingle sets by prefixes: shingles are ordered from rare to common, and two sets of
+the similarity share one among the first fifth of each. Pairs of one component need
+no comparison, so a group of near copies is not listed pair by pair.
 
 Defined cases: a null or blank text has fingerprint zero, which links like any
 other; rows with a null doc_id keep their fingerprint and take the component of
@@ -160,15 +163,15 @@ def _small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.limit(MANY_KEYS + 1).count() <= MANY_KEYS else keys
 
 
-def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
-    """(cls, fp0, ...) of distinct texts -> pairs of classes (u < v) from shared buckets, within the radius in some fingerprint."""
+def _candidates(nodes: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(cls, fp0, ...) of distinct texts -> pairs of classes (u < v) from shared buckets, within the radius in some fingerprint, and (key, cls) of buckets over ``SMALL``."""
     names = nodes.columns[1:]
     masks = covering_masks(radius)
     keys = F.array(*[F.xxhash64(F.lit(i * len(masks) + t), F.col(n).bitwiseAND(F.lit(m))) for i, n in enumerate(names) for t, m in enumerate(masks)])
     rows = nodes.select("cls", F.explode(keys).alias("key"))
     sizes = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("u"), F.max("cls").alias("v")).where("n > 1"))
     crowded = sizes.where("n > 2")
-    more = rows.join(_small(crowded), "key")
+    more = written(rows.join(_small(crowded), "key"))
     few = more.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("cls")).alias("x"))
     few = few.select(F.explode(F.expr("flatten(transform(x, (p, i) -> transform(slice(x, i + 2, size(x)), q -> struct(p as u, q as v))))")).alias("p")).select("p.u", "p.v")
     stars = more.where(F.col("n") > SMALL).select("u", F.col("cls").alias("v"))
@@ -176,7 +179,61 @@ def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
     left = nodes.select(F.col("cls").alias("u"), *[F.col(n).alias(f"u_{n}") for n in names])
     right = nodes.select(F.col("cls").alias("v"), *[F.col(n).alias(f"v_{n}") for n in names])
     apart = F.least(*[F.bit_count(F.col(f"u_{n}").bitwiseXOR(F.col(f"v_{n}"))) for n in names])
-    return pairs.join(left, "u").join(right, "v").where(apart <= radius).select("u", "v")
+    return pairs.join(left, "u").join(right, "v").where(apart <= radius).select("u", "v"), more.where(F.col("n") > SMALL).select("key", "cls")
+
+
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, cls, ...) -> the members of keys that hold more than one component, with their root."""
+    rooted = members.join(_small(roots.withColumnRenamed("node", "cls")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rooted = written(rooted)
+    keys = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    return rooted.join(_small(written(keys)), "key", "left_semi")
+
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(cls, grams) -> (key, cls, n, pos): the shared shingles of every set's prefix; sets of the similarity share one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cls, grams in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                keys = np.frombuffer(grams, "<u4").astype(np.int64)
+                n = len(keys)
+                keys = keys if n else np.array([-1])  # empty sets are equal
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), cls, np.int64)), pa.array(np.full(len(keys), n, np.int64))], names=["key", "cls", "n"])
+
+    grams = written(sets.select("cls", "grams").mapInArrow(run, "key long, cls long, n long"))
+    # a shingle of one text alone stands first and links nothing: only its place counts
+    shared = written(grams.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"))
+    rare = grams.join(_small(shared), "key").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("held", "key"))).alias("x"))
+    rows = rare.select("cls", "n", F.greatest(F.col("n") - F.size("x"), F.lit(0)).alias("own"), F.posexplode("x").alias("at", "x"))
+    rows = rows.select(F.col("x.key").alias("key"), "cls", "n", (F.col("own") + F.col("at")).alias("pos"))
+    return written(rows.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9)))
+
+
+def _may_be(similarity: float) -> Column:
+    """Whether sets of ``n`` and ``m`` shingles that first meet at places ``pos`` and ``qos`` can have the similarity."""
+    most = F.greatest(F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("qos")), F.lit(0))
+    return most >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9
+
+
+def _settled(found: DataFrame, members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links found so far, and members of crowded buckets -> (node, root) with every similar pair of a bucket in one component."""
+    roots = written(connected_components(found))
+    open_ = written(_mixed(members, roots).select("cls").distinct())
+    if not open_.limit(1).count():
+        return roots
+    rows = _prefixes(sets.join(_small(open_), "cls", "left_semi"), similarity)
+    # once with the first text of each shingle, in linear size, then all pairs of different components
+    mixed = _mixed(rows, roots)
+    firsts = _small(written(mixed.groupBy("key").agg(F.min(F.struct("cls", "n", "pos", "root")).alias("f")).select("key", F.col("f.cls").alias("u"), F.col("f.n").alias("m"), F.col("f.pos").alias("qos"), F.col("f.root").alias("other"))))
+    stars = mixed.join(firsts, "key").where(F.col("root") != F.col("other")).where(_may_be(similarity)).select("u", F.col("cls").alias("v")).distinct()
+    found = written(found.union(_verified(stars, sets, similarity)))
+    roots = written(connected_components(found))
+    mixed = written(_mixed(rows, roots))
+    others = mixed.select("key", F.col("cls").alias("v"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("root").alias("other"))
+    rest = mixed.join(others, (mixed["key"] == others["key"]) & (F.col("cls") < F.col("v")) & (F.col("root") != F.col("other")) & _may_be(similarity))
+    more = written(_verified(rest.select(F.col("cls").alias("u"), "v").distinct(), sets, similarity))
+    return connected_components(found.union(more)) if more.limit(1).count() else roots
 
 
 def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -212,17 +269,22 @@ def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("u", "v", "left", "right").mapInArrow(run, "u long, v long")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    left, right = sets.select(F.col("cls").alias("u"), F.col("grams").alias("left")), sets.select(F.col("cls").alias("v"), F.col("grams").alias("right"))
+    return _similar(pairs.join(left, "u").join(right, "v"), similarity)
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(cls, root) of every distinct text with a near duplicate; cls is the text's XXH64, root the smallest of its component."""
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("cls", F.xxhash64("text"))
     fps = _prints(texts)
     nodes = written(fps.groupBy("cls").agg(*[F.min(n).alias(n) for n in fps.columns[1:]]))
-    pairs = written(_candidates(nodes, radius))
-    needed = pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls"))).distinct()
+    pairs, members = _candidates(nodes, radius)
+    pairs = written(pairs)
+    needed = pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls"))).union(members.select("cls")).distinct()
     chosen = texts.join(_small(written(needed)), "cls", "left_semi").dropDuplicates(["cls"])
     sets = written(_shingle_sets(chosen, SHINGLE))
-    left, right = sets.select(F.col("cls").alias("u"), F.col("grams").alias("left")), sets.select(F.col("cls").alias("v"), F.col("grams").alias("right"))
-    return connected_components(_similar(pairs.join(left, "u").join(right, "v"), similarity)).select(F.col("node").alias("cls"), "root")
+    return _settled(written(_verified(pairs, sets, similarity)), members, sets, similarity).select(F.col("node").alias("cls"), "root")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:

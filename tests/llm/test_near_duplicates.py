@@ -108,3 +108,37 @@ def test_prints_find_what_verification_decides(spark, docs):
     got = simhash.near_duplicates(pair).collect()
     assert len(got) == 1 or len({r.root for r in got}) == 1
     assert simhash.keep_one(pair).select(F.collect_list("doc_id")).first()[0] == [0, 2]
+
+
+def test_every_similar_pair_of_a_crowded_bucket_is_found(docs, monkeypatch):
+    # fingerprints that are all zero: one bucket a table holds every text
+    monkeypatch.setattr(simhash, "PRINTS", ((1, 42), (2, 42)))
+    monkeypatch.setattr(simhash, "fingerprint", lambda *a: 0)
+    rng = random.Random(7)
+    texts = []
+    for _ in range(40):  # 40 pairs of near copies out of 12 words, each pair with nothing in common with the others but words
+        words = rng.choices("abcdefghijkl", k=120)
+        copy = list(words)
+        copy[60] = "m"
+        texts += [" ".join(words), " ".join(copy)]
+    texts += ["", " ", "\n", "q", "q r"]
+    got = simhash.near_duplicates(docs(*texts)).groupBy("root").count().collect()
+    assert sorted(r["count"] for r in got) == [1] * 40 + [2]  # roots themselves are not listed
+
+
+def test_prefix_join_is_exact(spark):
+    rng = random.Random(11)
+    sets = {0: set(), 1: set()}
+    for g in range(12):  # groups about one set, with 0 to 25 of 60 members changed, and members of all groups in common
+        core = rng.sample(range(3000), 50) + rng.sample(range(10), 10)
+        for _ in range(15):
+            own = list(core)
+            for i in rng.sample(range(60), rng.randint(0, 12)):
+                own[i] = rng.randrange(3000, 10**6)
+            sets[len(sets)] = set(own)
+    rows = [(c, bytearray(np.array(sorted(x), "<u4").tobytes())) for c, x in sets.items()]
+    frame = spark.createDataFrame(rows, "cls long, grams binary")
+    members = spark.createDataFrame([(1, c) for c in sets], "key long, cls long")
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    got = {r.node: r.root for r in simhash._settled(spark.createDataFrame([], "u long, v long"), members, frame, 0.8).collect()}
+    assert {c: got.get(c, c) for c in sets} == brute(list(sets), alike)
