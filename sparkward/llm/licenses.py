@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: No rule and no base phrase matches a text without one of these.
-GATE = rf"(?i)licen[cs]|cc{GAP}+by|creative{GAP}+commons|public{GAP}+domain|copyleft|spdx|unlicense"
+GATE = rf"(?i)licen[cs]|cc(?:0|{GAP}+(?:by|zero))|creative{GAP}+commons|public{GAP}+domain|copyleft|spdx|unlicense|gpl|gfdl|bsd|wtfpl"
 
 #: (identifier, name in the word stream, versions, keyword). A version is written as words: "2 0".
 FAMILIES = [

@@ -193,6 +193,42 @@ def test_license_rules_and_suppression(docs, rows_of):
     assert len(licenses.rules()) > 200 and got[4].score == 0 and got[0].score > got[5].score
 
 
+def specimen(pattern, turn):
+    """A text that a rule's regular expression matches; ``turn`` chooses among alternatives and optional parts."""
+    from re import _parser
+
+    def say(parsed):
+        out = ""
+        for op, arg in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "IN":
+                out += chr(arg[turn % len(arg)][1])
+            elif name == "BRANCH":
+                out += say(arg[1][turn % len(arg[1])])
+            elif name == "SUBPATTERN":
+                out += say(arg[3])
+            elif name == "MAX_REPEAT":
+                out += say(arg[2]) * (arg[1] if turn % 2 else arg[0])
+            elif not name.startswith("ASSERT"):
+                raise ValueError(name)
+        return out
+
+    return say(_parser.parse(pattern))
+
+
+def test_license_names_without_the_word_license_pass_the_gate(docs, rows_of):
+    texts = {
+        "Released under the GNU GPL version 3 or later.": "gpl-3", "Distributed under the BSD 3-Clause terms": "bsd-3-clause", "Published under CC0 1.0": "cc0-1.0", "Covered by the LGPL 2.1": "lgpl-2.1",
+        "AGPL v3": "agpl-3", "WTFPL": "wtfpl", "CC Zero": "cc0",
+    }
+    got = rows_of(licenses.scan(docs(*texts)))
+    for i, label in enumerate(texts.values()):
+        assert label in got[i].labels.split(",") and got[i].score > 0
+    assert all(re.search(licenses.GATE, specimen(r["regex"], turn)) for r in licenses.rules() for turn in range(12))
+
+
 def patched(data):
     """The model file as a unigram model with finite space scores, so that the library's Viterbi is exact on it."""
 
