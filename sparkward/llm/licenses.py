@@ -1,9 +1,10 @@
 """License scans by ordered signature rules, in built-in functions only.
 
 A text is read as a stream of lower-case words. Every rule is a regular
-expression over that stream with a keyword, a priority and a confidence. A
+expression over that stream with keywords, a priority and a confidence. A
 document that holds none of the gate's words is done after one pass; in the
-others only rules whose keyword occurs are run. Each match is an interval of
+others only rules of which a keyword occurs are run; every match of a rule
+holds one of its keywords. Each match is an interval of
 the stream; a match inside the interval of one of equal or higher priority is
 suppressed, so "apache license version 2 0" is not also a bare "apache
 license". The four base phrases are counted apart and always stay.
@@ -28,41 +29,41 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 #: No rule and no base phrase matches a text without one of these.
 GATE = rf"(?i)licen[cs]|cc(?:0|{GAP}+(?:by|zero))|creative{GAP}+commons|public{GAP}+domain|copyleft|spdx|unlicense|gpl|gfdl|bsd|wtfpl"
 
-#: (identifier, name in the word stream, versions, keyword). A version is written as words: "2 0".
+#: (identifier, name in the word stream, versions, keywords). Whatever the name matches holds one of the keywords. A version is written as words: "2 0".
 FAMILIES = [
-    ("gpl", "(?:gnu )?(?:general public licen[cs]e|gpl)", ("1 0", "2", "2 0", "3", "3 0"), "g"),
-    ("lgpl", "(?:gnu )?(?:lesser general public licen[cs]e|library general public licen[cs]e|lgpl)", ("2", "2 0", "2 1", "3", "3 0"), "l"),
-    ("agpl", "(?:gnu )?(?:affero general public licen[cs]e|agpl)", ("1 0", "3", "3 0"), "a"),
-    ("gfdl", "(?:gnu )?(?:free documentation licen[cs]e|gfdl)", ("1 1", "1 2", "1 3"), "documentation"),
-    ("apache", "apache(?: software)?(?: licen[cs]e)", ("1 0", "1 1", "2", "2 0"), "apache"),
-    ("mit", "(?:mit|expat|x11) licen[cs]e", (), "licen"),
-    ("bsd", "bsd(?: style)?(?: licen[cs]e)?", ("2 clause", "3 clause", "4 clause", "0 clause"), "bsd"),
-    ("mpl", "mozilla public licen[cs]e", ("1 0", "1 1", "2 0"), "mozilla"),
-    ("epl", "eclipse public licen[cs]e", ("1 0", "2 0"), "eclipse"),
-    ("cddl", "common development and distribution licen[cs]e", ("1 0", "1 1"), "distribution"),
-    ("cpl", "common public licen[cs]e", ("1 0",), "common"),
-    ("eupl", "european union public licen[cs]e", ("1 1", "1 2"), "european"),
-    ("artistic", "artistic licen[cs]e", ("1 0", "2 0"), "artistic"),
-    ("isc", "isc licen[cs]e", (), "isc"),
-    ("zlib", "zlib(?: libpng)? licen[cs]e", (), "zlib"),
-    ("bsl", "boost software licen[cs]e", ("1 0",), "boost"),
-    ("ofl", "sil open font licen[cs]e", ("1 0", "1 1"), "font"),
-    ("wtfpl", "(?:do what the fuck you want to public licen[cs]e|wtfpl)", ("2",), "w"),
-    ("unlicense", "(?:the )?unlicense", (), "unlicense"),
-    ("cc0", "(?:cc0|creative commons zero|cc zero)", ("1 0",), "c"),
-    ("cc-by", "(?:cc by|creative commons attribution)", ("2 0", "2 5", "3 0", "4 0"), "c"),
-    ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)", ("2 0", "2 5", "3 0", "4 0"), "c"),
-    ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)", ("2 0", "2 5", "3 0", "4 0"), "c"),
-    ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)", ("2 0", "3 0", "4 0"), "c"),
-    ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", ("2 0", "2 5", "3 0", "4 0"), "c"),
-    ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)", ("2 0", "2 5", "3 0", "4 0"), "c"),
-    ("public-domain", "public domain", (), "domain"),
-    ("odbl", "open (?:data commons )?(?:open )?database licen[cs]e", ("1 0",), "database"),
-    ("psf", "python software foundation licen[cs]e", ("2", "2 0"), "python"),
-    ("ms-pl", "microsoft public licen[cs]e", (), "microsoft"),
-    ("php", "php licen[cs]e", ("3 0", "3 01"), "php"),
-    ("postgresql", "postgresql licen[cs]e", (), "postgresql"),
-    ("proprietary", "(?:proprietary|commercial) licen[cs]e", (), "licen"),
+    ("gpl", "(?:gnu )?(?:general public licen[cs]e|gpl)", ("1 0", "2", "2 0", "3", "3 0"), ("general public licen", "gpl")),
+    ("lgpl", "(?:gnu )?(?:lesser general public licen[cs]e|library general public licen[cs]e|lgpl)", ("2", "2 0", "2 1", "3", "3 0"), ("lesser general", "library general", "lgpl")),
+    ("agpl", "(?:gnu )?(?:affero general public licen[cs]e|agpl)", ("1 0", "3", "3 0"), ("affero general", "agpl")),
+    ("gfdl", "(?:gnu )?(?:free documentation licen[cs]e|gfdl)", ("1 1", "1 2", "1 3"), ("free documentation", "gfdl")),
+    ("apache", "apache(?: software)?(?: licen[cs]e)", ("1 0", "1 1", "2", "2 0"), ("apache",)),
+    ("mit", "(?:mit|expat|x11) licen[cs]e", (), ("mit licen", "expat licen", "x11 licen")),
+    ("bsd", "bsd(?: style)?(?: licen[cs]e)?", ("2 clause", "3 clause", "4 clause", "0 clause"), ("bsd",)),
+    ("mpl", "mozilla public licen[cs]e", ("1 0", "1 1", "2 0"), ("mozilla",)),
+    ("epl", "eclipse public licen[cs]e", ("1 0", "2 0"), ("eclipse",)),
+    ("cddl", "common development and distribution licen[cs]e", ("1 0", "1 1"), ("distribution",)),
+    ("cpl", "common public licen[cs]e", ("1 0",), ("common",)),
+    ("eupl", "european union public licen[cs]e", ("1 1", "1 2"), ("european",)),
+    ("artistic", "artistic licen[cs]e", ("1 0", "2 0"), ("artistic",)),
+    ("isc", "isc licen[cs]e", (), ("isc",)),
+    ("zlib", "zlib(?: libpng)? licen[cs]e", (), ("zlib",)),
+    ("bsl", "boost software licen[cs]e", ("1 0",), ("boost",)),
+    ("ofl", "sil open font licen[cs]e", ("1 0", "1 1"), ("font",)),
+    ("wtfpl", "(?:do what the fuck you want to public licen[cs]e|wtfpl)", ("2",), ("do what the", "wtfpl")),
+    ("unlicense", "(?:the )?unlicense", (), ("unlicense",)),
+    ("cc0", "(?:cc0|creative commons zero|cc zero)", ("1 0",), ("cc0", "creative commons zero", "cc zero")),
+    ("cc-by", "(?:cc by|creative commons attribution)", ("2 0", "2 5", "3 0", "4 0"), ("cc by", "commons attribution")),
+    ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)", ("2 0", "2 5", "3 0", "4 0"), ("cc by sa", "commons attribution share")),
+    ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)", ("2 0", "2 5", "3 0", "4 0"), ("cc by nc", "commons attribution non")),
+    ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)", ("2 0", "3 0", "4 0"), ("cc by nd", "commons attribution no")),
+    ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", ("2 0", "2 5", "3 0", "4 0"), ("cc by nc sa", "commons attribution non")),
+    ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)", ("2 0", "2 5", "3 0", "4 0"), ("cc by nc nd", "commons attribution non")),
+    ("public-domain", "public domain", (), ("public domain",)),
+    ("odbl", "open (?:data commons )?(?:open )?database licen[cs]e", ("1 0",), ("database",)),
+    ("psf", "python software foundation licen[cs]e", ("2", "2 0"), ("python",)),
+    ("ms-pl", "microsoft public licen[cs]e", (), ("microsoft",)),
+    ("php", "php licen[cs]e", ("3 0", "3 01"), ("php",)),
+    ("postgresql", "postgresql licen[cs]e", (), ("postgresql",)),
+    ("proprietary", "(?:proprietary|commercial) licen[cs]e", (), ("proprietary licen", "commercial licen")),
 ]
 #: (template, priority, confidence, needs a version). The first is the most telling; {n} is the name, {v} the version, {i} the identifier as words.
 TEMPLATES = [
@@ -77,7 +78,7 @@ TEMPLATES = [
 def rules() -> list[dict]:
     """Every family and version in every template: hundreds of rules, in a fixed order."""
     out = []
-    for ident, name, versions, keyword in FAMILIES:
+    for ident, name, versions, keywords in FAMILIES:
         for version in ("", *versions):
             for template, priority, confidence, versioned in TEMPLATES:
                 if versioned and not version or version and not versioned and "{v}" not in template:
@@ -85,8 +86,10 @@ def rules() -> list[dict]:
                 body = template.replace("{n}", name).replace("{i}", ident.replace("-", " "))
                 body = body.replace("(?: {v})?", f" {version}" if version else "").replace("{v}", version)
                 label = ident + ("-" + version.replace(" ", "-" if "clause" in version else ".") if version else "")
+                # a template without the name holds the identifier instead
+                words = list(keywords) if "{n}" in template else ["identifier " + ident.replace("-", " ")]
                 # a longer version or a longer identifier would be another rule's match
-                out.append({"label": label, "keyword": keyword, "regex": f"(?<= ){body}(?= )", "priority": priority, "confidence": confidence})
+                out.append({"label": label, "keywords": words, "regex": f"(?<= ){body}(?= )", "priority": priority, "confidence": confidence})
     return out
 
 
@@ -107,8 +110,8 @@ def _found(docs: DataFrame) -> DataFrame:
         "last_word": F.expr(f"case when size(hits) > 0 then cast(n_words - {words('element_at(cut, -1)')} - {words('element_at(hits, -1)')} as bigint) end"),
         "base": F.array_distinct(F.transform("hits", lambda h: F.element_at(F.create_map(*[F.lit(x) for kv in BASE.items() for x in kv]), h))),
     }).drop("cut", "hits")
-    table = F.from_json(F.lit(json.dumps(rules())), "array<struct<label string, keyword string, regex string, priority int, confidence double>>")
-    text = text.withColumn("rules", F.when(F.col("stream").isNotNull(), F.filter(table, lambda r: F.contains("stream", r.keyword))))
+    table = F.from_json(F.lit(json.dumps(rules())), "array<struct<label string, keywords array<string>, regex string, priority int, confidence double>>")
+    text = text.withColumn("rules", F.when(F.col("stream").isNotNull(), F.filter(table, lambda r: F.exists(r.keywords, lambda k: F.contains("stream", k)))))
     places = """
       aggregate(
         zip_with(slice(split(stream, r.regex), 1, size(regexp_extract_all(stream, r.regex, 0))), regexp_extract_all(stream, r.regex, 0), (g, m) -> struct(length(g) as g, length(m) as m)),

@@ -229,6 +229,14 @@ def test_license_names_without_the_word_license_pass_the_gate(docs, rows_of):
     assert all(re.search(licenses.GATE, specimen(r["regex"], turn)) for r in licenses.rules() for turn in range(12))
 
 
+def test_every_license_rule_finds_its_own_specimen(docs, rows_of):
+    wanted = {(specimen(r["regex"], turn).strip(), r["label"]) for r in licenses.rules() for turn in (0, 1, 3)} | {("SPDX-License-Identifier: MPL-2.0", "mpl-2.0"), ("licensed under the GFDL 1.3", "gfdl-1.3")}
+    wanted = sorted(wanted)
+    got = rows_of(licenses.scan(docs(*[t for t, _ in wanted])))
+    assert [x for i, x in enumerate(wanted) if x[1] not in got[i].labels.split(",")] == []
+    assert all(any(k in specimen(r["regex"], turn) for k in r["keywords"]) for r in licenses.rules() for turn in range(12))
+
+
 def patched(data):
     """The model file as a unigram model with finite space scores, so that the library's Viterbi is exact on it."""
 
