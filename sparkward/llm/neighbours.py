@@ -103,11 +103,11 @@ def _placed(rows: DataFrame, length: int, seed: int) -> DataFrame:
                 spread = np.clip(unit @ planes[c] * np.sqrt(length) / 6 + 0.5, 0, 1)
                 cells = np.minimum(((spread + shifts[c]) / 2 * steps).astype(np.int64), steps - 1)
                 key = hilbert_keys(cells, LEVELS)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int32)), pa.array(key), b.column(0), b.column(1)], names=["curve", "key", "id", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int32)), pa.array(key), b.column(0), b.column(1), b.column(2)], names=["curve", "key", "id", "vec", "nth"])
 
-    keyed = written(rows.select("id", "vec").mapInArrow(run, "curve int, key long, id long, vec array<double>"))
-    ranked, _ = numbered(keyed, ["curve"], ["key", "id"])
-    return written(ranked.select("curve", F.floor(F.col("pos") / WINDOW).alias("block"), "id", "vec"))
+    keyed = written(rows.select("id", "vec", "nth").mapInArrow(run, "curve int, key long, id long, vec array<double>, nth long"))
+    ranked, _ = numbered(keyed, ["curve"], ["key", "id", "nth"])
+    return written(ranked.select("curve", F.floor(F.col("pos") / WINDOW).alias("block"), "id", "vec", "nth"))
 
 
 def _packed(placed: DataFrame, length: int) -> DataFrame:
@@ -121,20 +121,20 @@ def _packed(placed: DataFrame, length: int) -> DataFrame:
         radius = float(np.sqrt(((vectors - centre) ** 2).sum(axis=1).max()))
         return pa.table({
             "curve": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()),
-            "ids": pa.array([ids[order].astype("<i8").tobytes()], pa.binary()), "vectors": pa.array([vectors.astype("<f8").tobytes()], pa.binary()),
+            "ids": pa.array([ids[order].astype("<i8").tobytes()], pa.binary()), "nths": pa.array([table.column("nth").to_numpy()[order].astype("<i8").tobytes()], pa.binary()), "vectors": pa.array([vectors.astype("<f8").tobytes()], pa.binary()),
             "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": pa.array([radius]),
         })
 
-    return placed.groupBy("curve", "block").applyInArrow(run, "curve int, block long, ids binary, vectors binary, centre array<double>, radius double")
+    return placed.groupBy("curve", "block").applyInArrow(run, "curve int, block long, ids binary, nths binary, vectors binary, centre array<double>, radius double")
 
 
 def _best(pairs: DataFrame, length: int, k: int) -> DataFrame:
-    """(q_ids, q_vectors, floors, ids, vectors) pairs of blocks -> each query's best in the pair that reach its floor."""
+    """(q_ids, q_vectors, floors, ids, nths, vectors) pairs of blocks -> each query's best in the pair that reach its floor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for q_ids, q_vectors, floors, ids, vectors in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                qi, xi = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
+            for q_ids, q_vectors, floors, ids, nths, vectors in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                qi, xi, xn = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8"), np.frombuffer(nths, "<i8")
                 q, x = np.frombuffer(q_vectors, "<f8").reshape(-1, length), np.frombuffer(vectors, "<f8").reshape(-1, length)
                 least = np.frombuffer(floors, "<f8") if floors else np.full(len(qi), -np.inf)
                 rough = q @ x.T
@@ -146,25 +146,26 @@ def _best(pairs: DataFrame, length: int, k: int) -> DataFrame:
                     continue
                 # one formula for every pair, so that equal vectors have equal scores
                 score = (q[who] * x[what]).sum(axis=1)
-                order = np.lexsort((xi[what], -score, who))
+                order = np.lexsort((xn[what], xi[what], -score, who))
                 who, what, score = who[order], what[order], score[order]
                 first = np.searchsorted(who, who)
                 kept = (np.arange(len(who)) - first < k) & (score >= least[who])
-                yield pa.RecordBatch.from_arrays([pa.array(qi[who][kept]), pa.array(xi[what][kept]), pa.array(score[kept])], names=["query_id", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(qi[who][kept]), pa.array(xi[what][kept]), pa.array(score[kept]), pa.array(xn[what][kept])], names=["query_id", "id", "score", "nth"])
 
-    return pairs.select("q_ids", "q_vectors", "floors", "ids", "vectors").mapInArrow(run, "query_id long, id long, score double")
+    return pairs.select("q_ids", "q_vectors", "floors", "ids", "nths", "vectors").mapInArrow(run, "query_id long, id long, score double, nth long")
 
 
 def _top(found: DataFrame, k: int, distinct: bool) -> DataFrame:
-    rows = found.groupBy("query_id", "id", "score").agg(F.lit(1).alias("one")).drop("one") if distinct else found
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    rows = found.groupBy("query_id", "id", "score", "nth").agg(F.lit(1).alias("one")).drop("one") if distinct else found
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id", "nth")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def search(rows: DataFrame, id_column: str, vector_column: str, is_query: Column, k: int = 20, exact: bool = True, seed: int = SEED) -> DataFrame:
     """query_id, rank, id and score: the k largest inner products of every row for which ``is_query`` (over ``id``) holds."""
     spark = rows.sparkSession
-    rows = written(usable(rows, id_column, vector_column))
+    # rows are told apart by a number, so that repeated ones are no overlap of windows
+    rows = written(usable(rows, id_column, vector_column).withColumn("nth", F.monotonically_increasing_id()))
     head = rows.select(F.size("vec").alias("n")).first()
     if head is None:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
@@ -197,6 +198,6 @@ def search(rows: DataFrame, id_column: str, vector_column: str, is_query: Column
     size = lambda a: F.sqrt(dot(a, a))
     bound = dot("centre", "q_centre") + F.col("radius") * size("q_centre") + F.col("q_radius") * size("centre") + F.col("radius") * F.col("q_radius")
     open_pairs = pairs.join(bounds, "block").where(bound >= F.col("floor") - 1e-9).select("block", "q_ids", "q_vectors", "floors")
-    rest = _best(open_pairs.join(first.select("block", "ids", "vectors"), "block"), length, k)
-    whole = found.select("query_id", "id", "score").unionByName(rest)
+    rest = _best(open_pairs.join(first.select("block", "ids", "nths", "vectors"), "block"), length, k)
+    whole = found.select("query_id", "id", "score", "nth").unionByName(rest)
     return _top(whole, k, True).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")

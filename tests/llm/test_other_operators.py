@@ -51,6 +51,16 @@ def test_neighbours_of_few_and_none(spark):
     assert neighbours.search(few.limit(0), "vec_id", "embedding", F.lit(True)).count() == 0
 
 
+def test_repeated_rows_are_neighbours_each(spark):
+    vectors = np.random.default_rng(5).standard_normal((100, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] * 2
+    got = collections.defaultdict(list)
+    for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", F.col("id") % 20 == 0, k=6).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.id)
+    want = brute(np.arange(100), vectors, range(0, 100, 20), 3)
+    assert got == {q: [i for i, _ in found for _ in (0, 1)] for q, found in want.items()}
+
+
 def test_hilbert_walk_visits_neighbouring_cells():
     side = np.arange(8)
     cells = np.stack(np.meshgrid(side, side, side), -1).reshape(-1, 3)
