@@ -3,10 +3,7 @@
 Texts are tokenized once, in Arrow batches, and cut into pieces. What is left
 to pack then depends on the piece lengths alone, and lengths are integers of at
 most the capacity: a histogram of at most 2048 counters is the whole instance,
-at any corpus size. Bin completion branches on the largest open length,
-enumerates undominated fillings of the rest of its sequence, prunes fillings
-by the waste that the lower bound still allows, and applies a filling as many
-times as the counters permit. The best-fit solution is the first incumbent.
+at any corpus size. ``bins.solve`` packs it by branch and bound.
 Pieces of one length are interchangeable, so the solution is a short table of
 (length, range of ranks) -> (sequence, offset); it is broadcast, and its size is bounded
 by the number of lengths. Ranks come from a range partitioning, so
@@ -19,7 +16,6 @@ columns of the input are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import time
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -30,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import numbered, written
+from .bins import NODES, Plan, solve
 
 CAPACITY = 2048
 #: Entries of a worker's table of known chunks, and the longest chunk it keeps.
@@ -98,100 +95,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing: i
     return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _best_fit(counts: list[int], room: int, top: int) -> list[tuple[int, int]]:
-    """Greedy filling of ``room``: the largest open length that fits, as often as it fits."""
-    out, size = [], min(room, top)
-    while room > 0 and size > 0:
-        if counts[size]:
-            take = min(counts[size], room // size)
-            if take:
-                out.append((size, take))
-                room -= size * take
-        size = min(size - 1, room)
-    return out
-
-
-def _completions(counts: list[int], room: int, waste: int, tries: int) -> list[tuple[int, int]]:
-    """The filling of ``room`` with the least waste, by depth-first branch and bound.
-
-    Fillings are tried with larger lengths first; one is dominated, and not
-    entered, when its rest can't come below the best waste found. It ends at
-    a waste of 0 or after ``tries`` nodes, the incumbent being best fit.
-    """
-    best = _best_fit(counts, room, room)
-    least = room - sum(s * k for s, k in best)
-    if least <= waste:
-        return best
-    sizes = [s for s in range(min(room, len(counts) - 1), 0, -1) if counts[s]]
-    smallest = sizes[-1] if sizes else 0
-    left = [tries]
-
-    def go(at: int, room: int, taken: list[tuple[int, int]]) -> bool:
-        nonlocal best, least
-        if room < least:
-            best, least = list(taken), room
-        if least <= waste:
-            return True
-        for i in range(at, len(sizes)):
-            s = sizes[i]
-            if s > room:
-                continue
-            if left[0] <= 0 or room < smallest:
-                return least <= waste
-            for k in range(min(counts[s], room // s), 0, -1):
-                left[0] -= 1
-                if go(i + 1, room - s * k, [*taken, (s, k)]):
-                    return True
-                if left[0] <= 0:
-                    return False
-        return False
-
-    go(0, room, [])
-    return best
-
-
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, tries: int = 400, seconds: float = 20.0) -> list[tuple[int, list[tuple[int, int]]]]:
-    """length -> pieces  =>  [(sequences, [(length, pieces in each)])], filling by filling.
-
-    Branches on the largest open length. Completion runs once with the
-    incumbents alone (best fit) and once with branch and bound; the one with
-    fewer sequences is kept. Neither can beat ceil(total / capacity), and the
-    search is skipped where best fit meets it. ``tries`` bounds the nodes of a
-    filling and ``seconds`` the search; past either, best fit completes.
-    """
-
-    def pack(tries: int) -> list[tuple[int, list[tuple[int, int]]]]:
-        counts = [0] * (capacity + 1)
-        for s, n in histogram.items():
-            counts[s] = n
-        began, plan = time.monotonic(), []
-        for big in range(capacity, 0, -1):
-            while counts[big]:
-                counts[big] -= 1
-                if tries and time.monotonic() - began < seconds:
-                    rest = _completions(counts, capacity - big, 0, tries)
-                else:
-                    rest = _best_fit(counts, capacity - big, capacity - big)
-                counts[big] += 1
-                fill: dict[int, int] = {big: 1}
-                for s, k in rest:
-                    fill[s] = fill.get(s, 0) + k
-                times = min(counts[s] // k for s, k in fill.items())
-                for s, k in fill.items():
-                    counts[s] -= k * times
-                plan.append((times, sorted(fill.items(), reverse=True)))
-        return plan
-
-    made = lambda plan: sum(n for n, _ in plan)
-    first = pack(0)
-    bound = -(-sum(s * n for s, n in histogram.items()) // capacity)
-    if made(first) <= bound or not tries:
-        return first
-    second = pack(tries)
-    return second if made(second) < made(first) else first
-
-
-def _places(plan: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndarray]:
+def _places(plan: Plan) -> dict[int, np.ndarray]:
     """length -> rows (first rank, first sequence, pieces in each sequence, offset of the first), by rank."""
     next_rank: dict[int, int] = {}
     rows: dict[int, list] = {}
@@ -207,11 +111,11 @@ def _places(plan: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndarr
     return {s: np.array(r, np.int64) for s, r in rows.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing: int = 0, tries: int = 400) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing: int = 0, nodes: int = NODES) -> DataFrame:
     """The pieces of all texts with their sequence_id and offset."""
     spark = docs.sparkSession
     ranked, totals = numbered(written(pieces(docs, tokenizer, capacity, closing)), ["length"], ["doc_id", "piece", "ids_crc32"], "rank")
-    places = spark.sparkContext.broadcast(_places(solve(dict(totals), capacity, tries)))
+    places = spark.sparkContext.broadcast(_places(solve(dict(totals), capacity, nodes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = places.value

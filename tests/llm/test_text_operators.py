@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from sparkward.llm import licenses, lines, packing, quality, registry, unigram
+from sparkward.llm import bins, licenses, lines, packing, quality, registry, unigram
 
 BPE, PIECES = f"{registry.TOKENIZERS}/word_bpe_49k.json", f"{registry.TOKENIZERS}/piece_bpe_32k.model"
 needs_files = pytest.mark.skipif(not os.path.exists(BPE), reason="no tokenizer files")
@@ -70,11 +70,11 @@ def best(sizes, room):
 
 
 @pytest.mark.parametrize("seed", range(12))
-def test_bin_completion_is_near_the_optimum_and_whole(seed):
+def test_bin_completion_is_optimal_on_small_instances(seed):
     rng = random.Random(seed)
     sizes = [rng.randint(1, 20) for _ in range(9)]
-    plan = packing.solve(collections.Counter(sizes), 20)
-    assert sum(n for n, _ in plan) <= best(sizes, 20) + (seed in ())
+    plan = bins.solve(collections.Counter(sizes), 20)
+    assert sum(n for n, _ in plan) == best(sizes, 20) >= bins.lower_bound(collections.Counter(sizes), 20)
     filled = collections.Counter()
     for n, fill in plan:
         assert sum(s * k for s, k in fill) <= 20
@@ -83,6 +83,35 @@ def test_bin_completion_is_near_the_optimum_and_whole(seed):
     assert filled == collections.Counter(sizes)
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_bin_completion_finds_the_sequences_that_lengths_were_cut_from(seed):
+    rng = random.Random(seed)
+    histogram = collections.Counter()
+    for _ in range(60):  # 60 full sequences of 1 to 8 pieces
+        cuts = sorted(rng.sample(range(1, 2048), rng.randint(0, 7)))
+        histogram.update(b - a for a, b in zip([0, *cuts], [*cuts, 2048], strict=True))
+    plan, greedy = bins.solve(histogram, 2048), bins.best_fit(histogram, 2048)
+    assert sum(n for n, _ in plan) == 60 == bins.lower_bound(histogram, 2048) and sum(n for n, _ in greedy) >= 60
+    for packed in (plan, greedy):
+        filled = collections.Counter()
+        for n, fill in packed:
+            assert n > 0 and sum(s * k for s, k in fill) <= 2048
+            filled.update({s: n * k for s, k in fill})
+        assert filled == histogram
+    assert plan == bins.solve(histogram, 2048)  # nothing depends on time
+
+
+def test_fillings_are_undominated_and_within_the_waste():
+    counts = [0] * 21
+    for s, n in {9: 1, 5: 2, 4: 3, 2: 1}.items():
+        counts[s] = n
+    got = list(bins.fillings(counts, [9, 5, 4, 2], 11, 3, 1000))
+    # by hand: 9+2 and 5+5; 9 could stand for 5+4 in 5+4+2, and whatever leaves more has room for a piece or a longer one
+    assert got == [(0, ((9, 1), (2, 1))), (1, ((5, 2),))]
+    counts[9] = counts[2] = 0
+    assert list(bins.fillings(counts, [5, 4], 11, 3, 1000)) == [(1, ((5, 2),))]  # 5+4 leaves 2, and 5 could stand for 4
+
+
 def test_quality_features_by_hand(docs, rows_of):
     texts = [*ODD, "a b c d e f g h " * 5, "line one\nline one\n \nline two\nline one", "#$% x | y <z> " * 10, "THE END!! " * 40, *(f"Plain words number {i} stand here. They differ in each one, {i * 7} times over.\n" * 1 + " ".join(f"w{i}x{j}" for j in range(60)) + "." for i in range(40))]
     got = rows_of(quality.judge(docs(*texts)))
