@@ -29,8 +29,8 @@ from ..plans.shared import numbered, written
 from .bins import NODES, Plan, solve
 
 CAPACITY = 2048
-#: Entries of a worker's table of known chunks, and the longest chunk it keeps.
-KNOWN, LONGEST = 1 << 20, 48
+#: Entries of each of the two generations of a worker's known chunks (together about 150 MB), and the longest chunk kept.
+KNOWN, LONGEST = 1 << 18, 48
 #: Marks that end a word, and the first letter whose lower case is left to the tokenizer (U+0250).
 MARKS, PLAIN = ".,;:!?", "\u0250"
 
@@ -41,23 +41,29 @@ class ChunkIds(dict):
     The tokenizer cuts at white space before it merges, so a text's ids are
     those of its chunks in a row. It also lowers letters and cuts between a
     letter or digit and a mark, so that "Word," needs only "word" and ",".
+    The table is two generations of bounded size, the older of which is dropped when the younger is full.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
+        self._older: dict[str, bytes] = {}
         self._encode = Tokenizer.from_file(path).encode
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) > 1 and chunk[-1] in MARKS and chunk[-2].isalnum() and chunk[-2] < PLAIN:
+        ids = self._older.get(chunk)
+        if ids is not None:
+            pass
+        elif len(chunk) > 1 and chunk[-1] in MARKS and chunk[-2].isalnum() and chunk[-2] < PLAIN:
             ids = self[chunk[:-1]] + self[chunk[-1]]
         elif chunk.isalpha() and max(chunk) < PLAIN and (low := chunk.lower()) != chunk:
             ids = self[low]
         else:
             ids = np.asarray(self._encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         if len(chunk) <= LONGEST:
-            if len(self) >= KNOWN:
+            if len(self) >= KNOWN:  # what is in use comes back from the older generation
+                self._older = dict(self)
                 self.clear()
                 self[""] = b""
             self[chunk] = ids
