@@ -9,8 +9,8 @@ the stream; a match inside the interval of one of equal or higher priority is
 suppressed, so "apache license version 2 0" is not also a bare "apache
 license". The four base phrases are counted apart and always stay.
 
-Rules are built from families (a name as people write it, its versions and
-its identifier) and templates (how licenses are granted, named or cited).
+Rules are in ``license_rules``: signatures of what licenses, notices and headers say,
+and names with their versions as they are granted, named or cited.
 
 Defined cases: a null text is empty and has no words; a null doc_id is kept;
 repeated rows are scanned each; other columns are ignored.
@@ -23,83 +23,28 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_rules import rules
+
 #: What stands between words: ASCII that is neither digit nor letter. Letters are lowered after the split.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: No rule and no base phrase matches a text without one of these.
-GATE = rf"(?i)licen[cs]|cc(?:0|{GAP}+(?:by|zero))|creative{GAP}+commons|public{GAP}+domain|copyleft|spdx|unlicense|gpl|gfdl|bsd|wtfpl"
-
-#: (identifier, name in the word stream, versions, keywords). Whatever the name matches holds one of the keywords. A version is written as words: "2 0".
-FAMILIES = [
-    ("gpl", "(?:gnu )?(?:general public licen[cs]e|gpl)", ("1 0", "2", "2 0", "3", "3 0"), ("general public licen", "gpl")),
-    ("lgpl", "(?:gnu )?(?:lesser general public licen[cs]e|library general public licen[cs]e|lgpl)", ("2", "2 0", "2 1", "3", "3 0"), ("lesser general", "library general", "lgpl")),
-    ("agpl", "(?:gnu )?(?:affero general public licen[cs]e|agpl)", ("1 0", "3", "3 0"), ("affero general", "agpl")),
-    ("gfdl", "(?:gnu )?(?:free documentation licen[cs]e|gfdl)", ("1 1", "1 2", "1 3"), ("free documentation", "gfdl")),
-    ("apache", "apache(?: software)?(?: licen[cs]e)", ("1 0", "1 1", "2", "2 0"), ("apache",)),
-    ("mit", "(?:mit|expat|x11) licen[cs]e", (), ("mit licen", "expat licen", "x11 licen")),
-    ("bsd", "bsd(?: style)?(?: licen[cs]e)?", ("2 clause", "3 clause", "4 clause", "0 clause"), ("bsd",)),
-    ("mpl", "mozilla public licen[cs]e", ("1 0", "1 1", "2 0"), ("mozilla",)),
-    ("epl", "eclipse public licen[cs]e", ("1 0", "2 0"), ("eclipse",)),
-    ("cddl", "common development and distribution licen[cs]e", ("1 0", "1 1"), ("distribution",)),
-    ("cpl", "common public licen[cs]e", ("1 0",), ("common",)),
-    ("eupl", "european union public licen[cs]e", ("1 1", "1 2"), ("european",)),
-    ("artistic", "artistic licen[cs]e", ("1 0", "2 0"), ("artistic",)),
-    ("isc", "isc licen[cs]e", (), ("isc",)),
-    ("zlib", "zlib(?: libpng)? licen[cs]e", (), ("zlib",)),
-    ("bsl", "boost software licen[cs]e", ("1 0",), ("boost",)),
-    ("ofl", "sil open font licen[cs]e", ("1 0", "1 1"), ("font",)),
-    ("wtfpl", "(?:do what the fuck you want to public licen[cs]e|wtfpl)", ("2",), ("do what the", "wtfpl")),
-    ("unlicense", "(?:the )?unlicense", (), ("unlicense",)),
-    ("cc0", "(?:cc0|creative commons zero|cc zero)", ("1 0",), ("cc0", "creative commons zero", "cc zero")),
-    ("cc-by", "(?:cc by|creative commons attribution)", ("2 0", "2 5", "3 0", "4 0"), ("cc by", "commons attribution")),
-    ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)", ("2 0", "2 5", "3 0", "4 0"), ("cc by sa", "commons attribution share")),
-    ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)", ("2 0", "2 5", "3 0", "4 0"), ("cc by nc", "commons attribution non")),
-    ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)", ("2 0", "3 0", "4 0"), ("cc by nd", "commons attribution no")),
-    ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", ("2 0", "2 5", "3 0", "4 0"), ("cc by nc sa", "commons attribution non")),
-    ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)", ("2 0", "2 5", "3 0", "4 0"), ("cc by nc nd", "commons attribution non")),
-    ("public-domain", "public domain", (), ("public domain",)),
-    ("odbl", "open (?:data commons )?(?:open )?database licen[cs]e", ("1 0",), ("database",)),
-    ("psf", "python software foundation licen[cs]e", ("2", "2 0"), ("python",)),
-    ("ms-pl", "microsoft public licen[cs]e", (), ("microsoft",)),
-    ("php", "php licen[cs]e", ("3 0", "3 01"), ("php",)),
-    ("postgresql", "postgresql licen[cs]e", (), ("postgresql",)),
-    ("proprietary", "(?:proprietary|commercial) licen[cs]e", (), ("proprietary licen", "commercial licen")),
-]
-#: (template, priority, confidence, needs a version). The first is the most telling; {n} is the name, {v} the version, {i} the identifier as words.
-TEMPLATES = [
-    ("spdx licen[cs]e identifier {i}(?: {v})?(?: (?:only|or later))?", 3, 0.99, False),
-    ("(?:licensed|released|distributed|available|published|provided|covered|issued|offered) (?:to you )?(?:under|by) (?:the terms (?:and conditions )?of )?(?:the |a )?{n}(?: (?:version |v ?)?{v})(?: or (?:any )?later(?: version)?)?", 3, 0.97, True),
-    ("(?:licensed|released|distributed|available|published|provided|covered|issued|offered) (?:to you )?(?:under|by) (?:the terms (?:and conditions )?of )?(?:the |a )?{n}", 2, 0.9, False),
-    ("{n} (?:version |v ?)?{v}(?: or (?:any )?later(?: version)?)?", 2, 0.85, True),
-    ("{n}", 1, 0.6, False),
-]
-
-
-def rules() -> list[dict]:
-    """Every family and version in every template: hundreds of rules, in a fixed order."""
-    out = []
-    for ident, name, versions, keywords in FAMILIES:
-        for version in ("", *versions):
-            for template, priority, confidence, versioned in TEMPLATES:
-                if versioned and not version or version and not versioned and "{v}" not in template:
-                    continue
-                body = template.replace("{n}", name).replace("{i}", ident.replace("-", " "))
-                body = body.replace("(?: {v})?", f" {version}" if version else "").replace("{v}", version)
-                label = ident + ("-" + version.replace(" ", "-" if "clause" in version else ".") if version else "")
-                # a template without the name holds the identifier instead
-                words = list(keywords) if "{n}" in template else ["identifier " + ident.replace("-", " ")]
-                # a longer version or a longer identifier would be another rule's match
-                out.append({"label": label, "keywords": words, "regex": f"(?<= ){body}(?= )", "priority": priority, "confidence": confidence})
-    return out
+#: Every match of a rule and every base phrase holds one of these words.
+GATE = (
+    "license licence licenses licensed unlicense spdx cc cc0 commons creativecommons opendatacommons domain publicdomain gpl lgpl agpl gfdl bsd wtfpl granted notice warranty mit ncsa restriction consortium redistribution "
+    "redistributions distribution contributors acknowledgement acknowledgment patent basis asl apache useful linking gcc texts royalty form mozilla eclipse opensolaris liable altered png jpeg freetype obtaining boost anyone law reserved "
+    "just stuff evil charityware python package perl bsdl sil openssl cryptographic agreement fee information w3c unicode nasa mulan cecill rail openrail prohibited permission intellectual government"
+).split()
 
 
 def _found(docs: DataFrame) -> DataFrame:
     """Adds n_words, base counts and the surviving matches to (doc_id, text)."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    text = text.withColumn("gate", F.col("text").rlike(GATE))
-    text = text.withColumn("n_words", F.size(F.array_remove(F.split("text", f"{GAP}+"), "")).cast("long"))
-    # the word stream, with a space at both ends, of gated documents only
-    text = text.withColumn("stream", F.when(F.col("gate"), F.concat(F.lit(" "), F.lower(F.trim(F.regexp_replace("text", f"{GAP}+", " "))), F.lit(" ")))).drop("text", "gate")
+    # lower() may change other letters than A-Z, but never where words begin and end, and no rule or phrase has a letter that another one becomes
+    text = text.withColumn("words", F.array_remove(F.split(F.lower("text"), f"{GAP}+"), "")).drop("text")
+    text = text.withColumn("n_words", F.size("words").cast("long"))
+    # the word stream, with a space at both ends, of documents that hold one of the gate's words only
+    gated = F.arrays_overlap("words", F.array(*map(F.lit, GATE)))
+    text = text.withColumn("stream", F.when(gated, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))).drop("words")
     phrase = f"(?<= )(?:{'|'.join(BASE)})(?= )"
     text = text.withColumns({"cut": F.split("stream", phrase), "hits": F.regexp_extract_all("stream", F.lit(f"({phrase})"), F.lit(1))})
     words = lambda c: f"(length({c}) - length(replace({c}, ' ', '')))"
@@ -112,12 +57,12 @@ def _found(docs: DataFrame) -> DataFrame:
     }).drop("cut", "hits")
     table = F.from_json(F.lit(json.dumps(rules())), "array<struct<label string, keywords array<string>, regex string, priority int, confidence double>>")
     text = text.withColumn("rules", F.when(F.col("stream").isNotNull(), F.filter(table, lambda r: F.exists(r.keywords, lambda k: F.contains("stream", k)))))
+    # one pass a rule: every match between two marks, which no stream holds
     places = """
-      aggregate(
-        zip_with(slice(split(stream, r.regex), 1, size(regexp_extract_all(stream, r.regex, 0))), regexp_extract_all(stream, r.regex, 0), (g, m) -> struct(length(g) as g, length(m) as m)),
-        struct(0 as at, cast(array() as array<struct<a: int, b: int>>) as out),
-        (s, x) -> struct(s.at + x.g + x.m as at, concat(s.out, array(struct(s.at + x.g as a, s.at + x.g + x.m as b))) as out)
-      ).out"""
+      transform(array(split(regexp_replace(stream, r.regex, '\\u0001$0\\u0002'), '\\u0001')), ps -> aggregate(
+        slice(ps, 2, 1000000000), struct(length(ps[0]) as at, cast(array() as array<struct<a: int, b: int>>) as out),
+        (s, x) -> struct(s.at + length(x) - 1 as at, concat(s.out, array(struct(s.at as a, s.at + instr(x, '\\u0002') - 1 as b))) as out)
+      ).out)[0]"""
     flat = f"flatten(transform(rules, r -> transform({places}, p -> struct(p.a as a, -p.b as z, -r.priority as y, r.label as label, r.confidence as confidence))))"
     text = text.withColumn("found", F.expr(f"sort_array({flat})")).drop("rules")
     # by start, then the longest, then the highest priority: whatever holds an interval stands before it,
