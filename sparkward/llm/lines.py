@@ -11,12 +11,15 @@ boilerplate lines, their hashes go into the plan as a literal set and no text
 is shuffled; beyond it, each document's boilerplate hashes are joined to it.
 Both ways give the same rows.
 
-A document of which over ``max_share`` would go is a copy of a spread document
-rather than a page with boilerplate: it stays whole, for near-dedup to judge.
+Copies don't make a line spread: a text that stands in many documents counts
+once, at the smallest of its sites, so a group of exact copies keeps its lines
+for near-dedup to judge. Every other document loses each boilerplate line, however
+much of it that is; near copies on ``min_sites`` sites lose the lines they share.
 
 Defined cases: a null text has no lines and stays null; lines without a word
 never count and stay; a null source counts as one site of its own; a null
-doc_id is kept; repeated rows are rewritten each; other columns pass through.
+doc_id is kept; repeated rows are rewritten each; other columns pass through, whatever
+their names. Equal texts are told by two 64-bit hashes and the length, equal lines by one hash.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import written
+from .names import fresh
 
-MIN_SITES, MAX_SHARE, INLINE = 8, 0.5, 50_000
+MIN_SITES, INLINE = 8, 50_000
 #: log2 of a sketch's registers; its relative error is 1.04 / sqrt(1024), and six times that is under 0.2.
 LG_K, NEAR = 10, 0.2
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -51,74 +55,70 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return far.union(exact.where(F.col("sites") >= min_sites).select("line"))
 
 
-def _rewritten(docs: DataFrame, is_boilerplate, max_share: float) -> DataFrame:
-    """``docs`` with __lines_clean, __lines_n, __lines_gone (lines that go) and __lines_copy."""
+def _rewritten(docs: DataFrame, own: str, is_boilerplate) -> DataFrame:
+    """``docs`` with the columns clean, n (lines) and gone (lines that go), named after ``own``."""
     split = F.split(F.col("text"), "\n")
-    kept = docs.withColumn("__lines_kept", F.filter(split, lambda x: ~(x.rlike(HAS_WORD) & is_boilerplate(F.xxhash64(x)))))
-    kept = kept.withColumns({
-        "__lines_clean": F.array_join("__lines_kept", "\n"),
-        "__lines_n": F.coalesce(F.size(split), F.lit(0)),
-        "__lines_gone": F.coalesce(F.size(split) - F.size("__lines_kept"), F.lit(0)),
-    }).drop("__lines_kept")
-    copy = (F.length("text") - F.length("__lines_clean")) > max_share * F.length("text")
-    kept = kept.withColumn("__lines_copy", F.coalesce(copy, F.lit(False)))
+    kept = docs.withColumn(f"{own}kept", F.filter(split, lambda x: ~(x.rlike(HAS_WORD) & is_boilerplate(F.xxhash64(x)))))
     return kept.withColumns({
-        "__lines_clean": F.when(F.col("__lines_copy"), F.col("text")).otherwise(F.col("__lines_clean")),
-        "__lines_gone": F.when(F.col("__lines_copy"), 0).otherwise(F.col("__lines_gone")),
-    })
+        f"{own}clean": F.array_join(f"{own}kept", "\n"),
+        f"{own}n": F.coalesce(F.size(split), F.lit(0)),
+        f"{own}gone": F.coalesce(F.size(split) - F.size(f"{own}kept"), F.lit(0)),
+    }).drop(f"{own}kept")
 
 
-def _cleaned(docs: DataFrame, min_sites: int, max_share: float, inline: int) -> DataFrame:
+def _cleaned(docs: DataFrame, own: str, min_sites: int, inline: int) -> DataFrame:
     docs = docs.withColumn("text", F.col("text").cast("string"))
     site = F.coalesce(F.col("source").cast("string"), F.lit("\0"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    found = written(docs.select(key.alias("key"), site.alias("site"), _hashes("text").alias("lines")))
-    marked = written(boilerplate(found.select("site", F.explode("lines").alias("line")), min_sites))
+    same = [F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("u"), F.length("text").alias("chars")]
+    found = written(docs.select(key.alias("key"), site.alias("site"), *same, _hashes("text").alias("lines")))
+    texts = found.groupBy("t", "u", "chars").agg(F.min("site").alias("site"), F.first("lines").alias("lines"))
+    marked = written(boilerplate(written(texts.select("site", F.explode("lines").alias("line"))), min_sites))
     few = marked.limit(inline + 1).collect()
     if len(few) <= inline:
         values = [r.line for r in few]
-        return _rewritten(docs, (lambda h: h.isin(values)) if values else (lambda h: F.lit(False)), max_share)
+        return _rewritten(docs, own, (lambda h: h.isin(values)) if values else (lambda h: F.lit(False)))
     held = (
         found.select("key", F.explode("lines").alias("line")).join(marked, "line", "left_semi")
-        .groupBy("key").agg(F.collect_set("line").alias("__lines_marked"))
+        .groupBy("key").agg(F.collect_set("line").alias(f"{own}marked"))
     )
     # two documents may share a key: a line is boilerplate whoever holds it, so their sets may mix
-    joined = docs.withColumn("__lines_key", key).join(held.withColumnRenamed("key", "__lines_key"), "__lines_key", "left").drop("__lines_key")
-    joined = joined.withColumn("__lines_marked", F.coalesce("__lines_marked", F.array().cast("array<bigint>")))
-    return _rewritten(joined, lambda h: F.array_contains(F.col("__lines_marked"), h), max_share).drop("__lines_marked")
+    joined = docs.withColumn(f"{own}key", key).join(held.withColumnRenamed("key", f"{own}key"), f"{own}key", "left").drop(f"{own}key")
+    joined = joined.withColumn(f"{own}marked", F.coalesce(f"{own}marked", F.array().cast("array<bigint>")))
+    return _rewritten(joined, own, lambda h: F.array_contains(F.col(f"{own}marked"), h)).drop(f"{own}marked")
 
 
-def line_report(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, inline: int = INLINE) -> DataFrame:
-    """doc_id, n_lines, n_removed, is_copy, clean_chars and the md5 of the clean text, a row for each document."""
-    return _cleaned(docs.select("doc_id", "source", "text"), min_sites, max_share, inline).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("__lines_n").cast("long").alias("n_lines"), F.col("__lines_gone").cast("long").alias("n_removed"),
-        F.col("__lines_copy").alias("is_copy"), F.length("__lines_clean").cast("long").alias("clean_chars"), F.md5(F.col("__lines_clean").cast("binary")).alias("clean_md5"),
+def line_report(docs: DataFrame, min_sites: int = MIN_SITES, inline: int = INLINE) -> DataFrame:
+    """doc_id, n_lines, n_removed, clean_chars and the md5 of the clean text, a row for each document."""
+    own = "__lines_"
+    return _cleaned(docs.select("doc_id", "source", "text"), own, min_sites, inline).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col(f"{own}n").cast("long").alias("n_lines"), F.col(f"{own}gone").cast("long").alias("n_removed"),
+        F.length(f"{own}clean").cast("long").alias("clean_chars"), F.md5(F.col(f"{own}clean").cast("binary")).alias("clean_md5"),
     )
 
 
-def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, inline: int = INLINE) -> DataFrame:
+def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, inline: int = INLINE) -> DataFrame:
     """The documents with clean texts and n_chars, with the columns they came with."""
-    out = _cleaned(docs, min_sites, max_share, inline).withColumn("text", F.col("__lines_clean"))
+    own = fresh(docs, "lines")
+    out = _cleaned(docs, own, min_sites, inline).withColumn("text", F.col(f"{own}clean"))
     if "n_chars" in docs.columns:
-        changed = F.col("__lines_gone") > 0
+        changed = F.col(f"{own}gone") > 0
         out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = f"""
-with lines as (
-  select distinct coalesce(source, chr(1)) as site, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\x0C\\r]'))) as line
-  from documents),
+with texts as (select text, min(coalesce(source, chr(1))) as site from documents group by text),
+lines as (
+  select distinct site, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\x0C\\r]'))) as line
+  from texts),
 marked as (select line from lines group by line having count(distinct site) >= {MIN_SITES}),
 bag as (select list(line) as all_lines from marked),
 cut as (
   select doc_id, text, string_split(text, chr(10)) as ls,
          list_filter(string_split(text, chr(10)), lambda x: not list_contains(coalesce(all_lines, []), x)) as kept
   from documents, bag),
-clean as (select doc_id, text, len(ls) as n, len(ls) - len(kept) as gone, array_to_string(kept, chr(10)) as c from cut),
-final as (select *, length(text) - length(c) > {MAX_SHARE} * length(text) as is_copy from clean)
-select doc_id, coalesce(n, 0)::bigint as n_lines, (case when coalesce(is_copy, false) then 0 else coalesce(gone, 0) end)::bigint as n_removed,
-       coalesce(is_copy, false) as is_copy, length(case when is_copy then text else c end)::bigint as clean_chars,
-       md5(case when is_copy then text else c end) as clean_md5
-from final
+clean as (select doc_id, text, len(ls) as n, len(ls) - len(kept) as gone, array_to_string(kept, chr(10)) as c from cut)
+select doc_id, coalesce(n, 0)::bigint as n_lines, coalesce(gone, 0)::bigint as n_removed, length(c)::bigint as clean_chars, md5(c) as clean_md5
+from clean
 """

@@ -23,25 +23,48 @@ def brute(ids, vectors, queries, k):
     return out
 
 
-@pytest.mark.parametrize("exact", [True, False])
-def test_neighbours_with_ties_and_bad_vectors(spark, monkeypatch, exact):
-    monkeypatch.setattr(neighbours, "WINDOW", 32)
+def found_by(df, k=None):
+    got = collections.defaultdict(list)
+    for r in df.orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.id, r.score))
+    return got
+
+
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_neighbours_with_ties_and_bad_vectors(spark, monkeypatch, kind):
+    monkeypatch.setattr(neighbours, "LEAST_ROWS", 8)
+    monkeypatch.setattr(neighbours, "MOST_ROWS", 16)  # windows of many blocks
+    monkeypatch.setattr(neighbours, "PACKET", 5)
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((6, 12))
     good = np.concatenate([c + 0.1 * rng.standard_normal((40, 12)) for c in centres] + [np.repeat(centres[:1], 120, axis=0)]).astype(np.float32).astype(float)
     rows = [(i, v.tolist(), "x") for i, v in enumerate(good)]
     bad = [(900, None, "x"), (920, [0.0] * 12, "x"), (940, [1.0, None] + [0.0] * 10, "x"), (960, [float("nan")] * 12, "x"), (980, [float("inf")] + [0.0] * 11, "x"), (None, [1.0] * 12, "x"), (1000, [1.0], "x"), (1020, [], "x")]
-    frame = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, block string")
-    got = collections.defaultdict(list)
-    for r in neighbours.search(frame, "vec_id", "embedding", F.col("id") % 20 == 0, k=5, exact=exact).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.id, r.score))
+    frame = spark.createDataFrame(rows + bad, f"vec_id long, embedding array<{kind}>, block string")
     want = brute(np.arange(len(good)), good, range(0, len(good), 20), 5)
-    assert set(got) == set(want)
-    if exact:
-        assert got == want
-    else:  # windows alone: true scores in order, and most of what there is to find
-        assert all(s == (good[q] * good[i]).sum() and i != q for q, found in got.items() for i, s in found)
-        assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) > 0.5 * 5 * len(want)
+    # all queries are measured, so windows that meet all of their neighbours give the true answer
+    assert found_by(neighbours.search(frame, "vec_id", "embedding", F.col("id") % 20 == 0, k=5, recall=1.0)) == want
+    got = found_by(neighbours.search(frame, "vec_id", "embedding", F.col("id") % 20 == 0, k=5))
+    assert set(got) == set(want) and all(s == (good[q] * good[i]).sum() and i != q for q, found in got.items() for i, s in found)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_windows_find_clustered_neighbours_in_a_fifth_of_the_rows(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    vectors = (rng.standard_normal((300, 32))[rng.integers(0, 300, 9000)] + 0.2 * rng.standard_normal((9000, 32)))
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/e")
+    told = {}
+    got = found_by(neighbours.search(spark.read.parquet(f"{tmp_path}/e"), "vec_id", "embedding", F.col("id") % 20 == 0, k=10, told=told.update))
+    want = brute(np.arange(9000), vectors, range(0, 9000, 20), 10)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 10 * len(want) and told["read"] <= told["rows"] / 5
+
+
+def test_products_that_overflow_take_part(spark):
+    rows = [(0, [1e200, 2.0]), (1, [1e200, 2.0]), (2, [1.0, 1.0]), (3, [-1e200, 0.0]), (20, [1e308, -1e308]), (4, [1e308, 1e308])]
+    got = found_by(neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", F.col("id") % 20 == 0))
+    inf = float("inf")
+    assert got[0] == [(1, inf), (4, inf), (2, 1e200 + 2.0), (3, -inf), (20, -inf)]  # both infinities meet in the last
+    assert got[20] == [(2, 0.0), (0, -inf), (1, -inf), (3, -inf), (4, -inf)]
 
 
 def test_neighbours_of_few_and_none(spark):
@@ -53,7 +76,7 @@ def test_neighbours_of_few_and_none(spark):
 
 def test_repeated_rows_are_neighbours_each(spark):
     vectors = np.random.default_rng(5).standard_normal((100, 6))
-    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] * 2
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] * 2  # equal rows ask once
     got = collections.defaultdict(list)
     for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", F.col("id") % 20 == 0, k=6).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.id)
@@ -107,16 +130,52 @@ def test_url_models_tell_held_out_urls_apart(spark):
     assert sum(got[len(seen) + i] == v for i, (_, v) in enumerate(new)) >= 190
 
 
-def test_url_scores_by_hand():
-    counts = np.zeros((2, urls.SLOTS))
-    texts = ["abab", "b", ""]
-    lengths, grams, contexts = urls._grams(texts)
-    assert lengths.tolist() == [4, 1, 0] and all(len(g) == 5 for g in grams)
-    # equal strings end in equal slots, whatever stands around them: both texts begin with padding
-    one = urls._grams(["abab"])
-    assert all((g[:4] == o).all() for g, o in zip(grams + contexts, one[1] + one[2], strict=True))
-    assert grams[1][0] != grams[1][2] and grams[1][1] == grams[1][3] and contexts[1][1] == contexts[1][3]
-    assert urls._scores(texts, counts).tolist() == [0, 0, 0]
+def slow_models(labelled):
+    """(text, rejected) pairs -> p(byte after context) of each class, straight from the definition."""
+    grams = [collections.Counter(), collections.Counter()]
+    for text, rejected in labelled:
+        raw = b"\0" * (urls.ORDERS - 1) + text.encode()
+        for i in range(urls.ORDERS - 1, len(raw)):
+            grams[rejected].update(raw[i - k + 1 : i + 1] for k in range(1, urls.ORDERS + 1))
+
+    def p(c, context, byte):
+        out = 1 / 256
+        for k in range(urls.ORDERS):
+            ctx = context[len(context) - k :]
+            out = (grams[c][ctx + bytes([byte])] + urls.PRIOR * out) / (sum(grams[c][ctx + bytes([x])] for x in range(256)) + urls.PRIOR)
+        return out
+
+    return p
+
+
+def slow_score(p, text):
+    raw = b"\0" * (urls.ORDERS - 1) + text.encode()
+    logs = [np.log(p(1, raw[i - urls.ORDERS + 1 : i], raw[i])) - np.log(p(0, raw[i - urls.ORDERS + 1 : i], raw[i])) for i in range(urls.ORDERS - 1, len(raw))]
+    return sum(logs) / max(1, len(logs))
+
+
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_url_scores_by_definition(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(urls, "BATCH", 2)
+    labelled = [("a.good/en/x1", 0), ("b.good/en/x2", 0), ("é.good/en/\0", 0), ("a.bad/es/yy", 1), ("c.bad/es/yy", 1), ("", 1)]
+    p = slow_models(labelled)
+    for c in (0, 1):  # probabilities add up to one after contexts seen and unseen
+        for context in (b"\0" * 5, b".good", b"zzzzz", b"zz/en"):
+            assert abs(sum(p(c, context, x) for x in range(256)) - 1) < 1e-9
+    counts = urls._counts(spark.createDataFrame([(t, bool(r)) for t, r in labelled], "text string, rejected boolean"))
+    texts = ["a.good/en/x1", "q.bad/es/", "", "\0\0", "é" * 9, "zzz", "a.good/en/x1"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "page_id long, text string")
+    got = {r.page_id: r.score for r in urls._scored(frame, counts, broadcast).collect()}
+    assert len(got) == len(texts) and all(abs(got[i] - slow_score(p, t)) < 1e-9 for i, t in enumerate(texts))
+
+
+def test_url_counts_grow_with_the_corpus(spark):
+    rng = np.random.default_rng(1)
+    sizes = []
+    for n in (50, 500):
+        frame = spark.createDataFrame([("".join(rng.choice(list("abcdefghij/."), 40)), bool(i % 2)) for i in range(n)], "text string, rejected boolean")
+        sizes.append(urls._counts(frame).count())
+    assert sizes[1] > 5 * sizes[0]
 
 
 def test_chat_perspectives(spark):
@@ -129,12 +188,30 @@ def test_chat_perspectives(spark):
     assert got[(2, None)].mask == [] and got[(None, "unknown")].text == "<|assistant|>\nlost<|end|>\n"
 
 
-def test_long_dialogues_go_on_in_parts(spark, monkeypatch):
+def test_dialogues_are_whole_however_they_are_cut(spark, monkeypatch):
+    frame = spark.range(1000).selectExpr("5L as conv_id", "id as turn", "case id % 3 when 0 then 'a' when 1 then 'b' else 'system' end as role", "cast(id as string) as text")
+    lost = spark.range(5).selectExpr("5L as conv_id", "cast(null as long) as turn", "'b' as role", "concat('lost ', id) as text")
+    whole = {r.perspective: r for r in chat.render(frame).collect()}
+    assert len(whole) == 2 and chat.render(frame.limit(0)).count() == 0
     monkeypatch.setattr(chat, "MOST", 100)
-    frame = spark.range(1000).selectExpr("5L as conv_id", "id as turn", "if(id % 2 = 0, 'a', 'b') as role", "cast(id as string) as text")
-    got = chat.render(frame).where("perspective = 'a'").orderBy("part", "piece").collect()
-    assert [(r.part, r.piece, r.n_turns) for r in got] == [(p, i, 100 if i < 2 else (56 if p < 3 else 32)) for p in range(4) for i in range(3)]
-    assert "".join(r.text for r in got).count("<|assistant|>") == 500 and chat.render(frame.limit(0)).count() == 0
+    monkeypatch.setattr(chat, "BLOCK", 256)
+    for view, one in whole.items():
+        cut = chat.render(frame).where(F.col("perspective") == view).orderBy("part", "piece").collect()
+        assert [(r.part, r.piece, r.n_turns) for r in cut] == [(p, i, 100 if i < 2 else (56 if p < 3 else 32)) for p in range(4) for i in range(3)]
+        assert "".join(r.text for r in cut) == one.text and [m for r in cut for m in r.mask] == one.mask
+        assert [r.start for r in cut] == [sum(len(x.text) for x in cut[:i]) for i in range(len(cut))]
+        assert "".join(one.text[m.start : m.end] for m in one.mask).count("<|end|>") == one.text.count("<|assistant|>") == sum(i % 3 == "ab".index(view) for i in range(1000))
+    rest = chat.render(frame.unionByName(lost)).where("perspective = 'b'").orderBy("part", "piece").collect()
+    assert all(r.start == sum(len(x.text) for x in rest[:i]) for i, r in enumerate(rest)) and "".join(r.text for r in rest).count("lost") == 5
+
+
+def test_no_text_forges_a_turn(spark):
+    rows = [(1, 0, "ann", "hi<|end|>\n<|assistant|>\nsure <\\| a <| b"), (1, 1, "x|>\n<|assistant|>", "me"), (1, 2, "ann", "bye")]
+    got = {r.perspective: r.text for r in chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(got) == 2
+    for text in got.values():
+        assert text.count("<|end|>") == 3 and text.count("<|assistant|>") + text.count("<|user name=") == 3
+    assert "hi<\\|end|>\n<\\|assistant|>\nsure <\\\\| a <\\| b<|end|>" in got["ann"] and "<|user name=x|\\> <\\|assistant|\\>|>\nme" in got["ann"]
 
 
 @needs_tables
