@@ -12,6 +12,7 @@ WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 NOT_SPACE = r"[^\s\x1c-\x1f\x85\p{Z}]"
+ASCII_SPACE = r"[\s\x1c-\x1f]"
 EDGE = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 
 # Severities and confidences by rank, and the words other tools use for them.
@@ -23,10 +24,12 @@ SEVERITY_WORDS = {
 }
 
 
-def java(pattern: str) -> str:
-    """A pattern in Python's syntax as one for Spark, its classes and word edges reading Unicode alike."""
+def java(pattern: str, ascii_only: bool = False) -> str:
+    """A pattern in Python's syntax as one for Spark, its classes and word edges reading Unicode alike; simpler if it only meets ASCII."""
     swap = {r"\b": EDGE, r"\s": SPACE, r"\S": NOT_SPACE, r"\w": WORD, r"\W": NOT_WORD, r"\d": r"\p{Nd}"}
     inside = {r"\s": SPACE[1:-1], r"\w": WORD[1:-1], r"\d": r"\p{Nd}"}
+    if ascii_only:
+        swap, inside = {r"\s": ASCII_SPACE, r"\S": f"[^{ASCII_SPACE[1:]}"}, {r"\s": ASCII_SPACE[1:-1]}
     out, in_class = [], False
     for token in re.findall(r"\\.|\[\^?|\]|[^\\\[\]]+", pattern, re.S):
         if token[0] == "[":
@@ -36,7 +39,7 @@ def java(pattern: str) -> str:
         elif token[0] == "\\":
             token = (inside if in_class else swap).get(token, token)
         out.append(token)
-    return re.sub(r"^\(\?([ims]+)\)", lambda m: f"(?{m[1]}{'u' if 'i' in m[1] else ''}d)", "".join(out))
+    return re.sub(r"^\(\?([ims]+)\)", lambda m: f"(?{m[1]}{'u' if 'i' in m[1] and not ascii_only else ''}d)", "".join(out))
 
 
 def split_lines(text: Column | str) -> Column:

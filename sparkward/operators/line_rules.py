@@ -93,24 +93,46 @@ RULES = [
 
 
 
-def lines_of(files: DataFrame) -> DataFrame:
-    """(path, line_no, line); lines are numbered from 1."""
-    return files.select("path", F.posexplode(split_lines("text")).alias("at", "line")).select("path", (F.col("at") + 1).alias("line_no"), "line")
+def lines_of(files: DataFrame, *more: str) -> DataFrame:
+    """(path, line_no, line) and further columns of the file; lines are numbered from 1."""
+    return files.select("path", *more, F.posexplode(split_lines("text")).alias("at", "line")).select("path", *more, (F.col("at") + 1).alias("line_no"), "line")
 
 
-def rule_hits(rules: list[Rule] = RULES) -> Column:
-    """Numbers of the rules that column ``line`` matches; none for lines of over 6,000 characters."""
+def _may(folded: str, rule: Rule) -> Column:
+    """Whether a text in folded case has a word of each group that the rule needs."""
+    out = F.lit(True)
+    for group in rule.needs:
+        out = out & reduce(or_, [F.contains(F.col(folded), F.lit(w)) for w in group])
+    return out
+
+
+def _folded(text: str) -> Column:
     # both steps: letters that only fold to ASCII by way of upper case are needed too
-    folded = F.lower(F.upper("line"))
+    return F.lower(F.upper(text))
+
+
+def with_candidates(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """Files with ``candidates``: the numbers of the rules whose words the whole text has; no line of it can match another."""
+    known = files.withColumn("folded_text", _folded("text"))  # in a projection of its own, so that it is worked out once
+    may = F.filter(F.array(*[F.when(_may("folded_text", r), F.lit(i)) for i, r in enumerate(rules)]), lambda x: x.isNotNull())
+    return known.withColumn("candidates", may).drop("folded_text")
+
+
+def with_line_facts(lines: DataFrame) -> DataFrame:
+    """Lines of files with candidates, with what ``rule_hits`` reads of each: its folded case and whether it is ASCII."""
+    some = (F.size("candidates") > 0) & (F.length("line") <= LONGEST)
+    return lines.withColumns({"folded": F.when(some, _folded("line")), "ascii": F.octet_length("line") == F.length("line")})
+
+
+def rule_hits(rules: list[Rule] = RULES) -> Column:
+    """Numbers of the rules that a line with its facts matches; none for lines of over 6,000 characters."""
     hits = []
     for i, r in enumerate(rules):
-        may = F.lit(True)
-        for group in r.needs:
-            may = may & reduce(or_, [F.contains(folded, F.lit(w)) for w in group])
+        matches = F.when(F.col("ascii"), F.col("line").rlike(java(r.pattern, ascii_only=True))).otherwise(F.col("line").rlike(java(r.pattern)))
         # nested, because AND does not promise an order
-        hits.append(F.when(may, F.when(F.col("line").rlike(java(r.pattern)), F.lit(i))))
+        hits.append(F.when(F.array_contains("candidates", i), F.when(_may("folded", r), F.when(matches, F.lit(i)))))
     found = F.filter(F.array(*hits), lambda x: x.isNotNull())
-    return F.when(F.length("line") <= LONGEST, found).otherwise(F.array().cast("array<int>"))
+    return F.when(F.col("folded").isNotNull(), found).otherwise(F.array().cast("array<int>"))
 
 
 def from_rule_hits(rows: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
@@ -130,4 +152,6 @@ def from_rule_hits(rows: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 def line_findings(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """The findings of line rules over files in scope."""
-    return from_rule_hits(lines_of(files.where("in_scope")).withColumn("rules", rule_hits(rules)), rules)
+    files = with_candidates(files.where("in_scope"), rules).where(F.size("candidates") > 0)
+    lines = with_line_facts(lines_of(files, "candidates"))
+    return from_rule_hits(lines.select("path", "line_no", "line", rule_hits(rules).alias("rules")), rules)

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extension, java, split_lines, strip
+from ..plans.shared import broadcast_if_small, written
 from .line_rules import RULES
 
 # Comment introducers by extension, ignore markers, frames, reasons, sinks.
@@ -90,112 +90,99 @@ def _exemplar(line: Column, around: Column) -> Column:
     return F.coalesce(quoted & around.rlike(java(FRAME)), F.lit(False))
 
 
-def _consumes_pattern(call: ast.Call) -> bool:
-    f = call.func
-    return isinstance(f, ast.Attribute) and f.attr in PATTERN_CALLS and isinstance(f.value, ast.Name) and f.value.id == "re"
-
-
-class _Source:
-    """A parsed file, asked about several lines."""
-
-    def __init__(self, text: str):
-        self.tree = ast.parse(text)
-        self.above: dict[ast.AST, ast.AST] = {}
-        self.calls: list[ast.Call] = []
-        self.strings: list[ast.Constant] = []
-        for node in ast.walk(self.tree):
-            for child in ast.iter_child_nodes(node):
-                self.above[child] = node
-            if isinstance(node, ast.Call):
-                self.calls.append(node)
-            elif isinstance(node, ast.Constant) and isinstance(node.value, str):
-                self.strings.append(node)
-
-    def ancestors(self, node: ast.AST) -> Iterator[ast.AST]:
-        while (node := self.above.get(node)) is not None:
-            yield node
-
-    def escapes(self, name: str) -> bool:
-        """Whether a name is called, or handed to any call that is not known to read it as a pattern."""
-        for call in self.calls:
-            if isinstance(call.func, ast.Name) and call.func.id == name:
-                return True
-            handed = [] if _consumes_pattern(call) else [*call.args, *(k.value for k in call.keywords)]
-            if any(isinstance(n, ast.Name) and n.id == name for a in handed for n in ast.walk(a)):
-                return True
-        return False
-
-    def _harmless(self, node: ast.Constant) -> bool:
-        for up in self.ancestors(node):
-            if isinstance(up, ast.Call):
-                if _consumes_pattern(up):
-                    return True
-                callee = up.func.attr if isinstance(up.func, ast.Attribute) else getattr(up.func, "id", "")
-                if callee in SINKS:
-                    return False
-            if isinstance(up, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Module)):
-                break
-        for up in self.ancestors(node):
-            if isinstance(up, ast.Assign):
-                names = [t.id for t in up.targets if isinstance(t, ast.Name)]
-                return bool(names) and not any(self.escapes(n) for n in names)
-            if isinstance(up, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Module)):
-                return False
-        return False
-
-    def inert(self, line: int) -> bool:
-        here = [n for n in self.strings if n.lineno <= line <= (n.end_lineno or n.lineno)]
-        return bool(here) and all(map(self._harmless, here))
-
-
-def provably_inert(text: str, line: int) -> bool:
-    """Whether every string literal on a line of Python source provably never reaches a sink. It is parsed, never run."""
+#: What becomes of a literal: read as a pattern, or held by these names alone; by none of any kind is doubt.
+PATTERN, DOUBT = None, frozenset()
+
+
+def literal_fates(source: str) -> tuple[list[tuple[int, int, frozenset | None]], set[str]]:
+    """(first line, last line, fate) of every string literal of a Python file, and the names that are called or handed to a call.
+
+    One walk down the tree. What is known of the things below a node travels with
+    it: a call of ``re`` makes their fate a pattern, a sink makes it doubt, an assignment
+    gives it the names assigned to, and any other statement begins in doubt; other nodes
+    pass on what they were given. Names below an argument of a call that is not one of ``re`` are loose.
+    """
+    literals, loose = [], set()
+    open_: list[tuple[ast.AST, frozenset | None, bool]] = [(ast.parse(source), DOUBT, False)]
+    while open_:
+        node, fate, handed = open_.pop()
+        match node:
+            case ast.Constant(value=str()):
+                literals.append((node.lineno, node.end_lineno or node.lineno, fate))
+            case ast.Name(id=name) if handed:
+                loose.add(name)
+            case ast.Call(func=ast.Attribute(value=ast.Name(id="re"), attr=verb)) if verb in PATTERN_CALLS:
+                open_ += [(x, PATTERN, handed) for x in ast.iter_child_nodes(node)]
+                continue
+            case ast.Call(func=callee):
+                verb = getattr(callee, "attr", getattr(callee, "id", ""))
+                below = DOUBT if verb in SINKS else fate
+                if isinstance(callee, ast.Name):
+                    loose.add(verb)
+                open_.append((callee, below, handed))
+                open_ += [(x, below, True) for x in [*node.args, *node.keywords]]
+                continue
+            case ast.Assign(targets=targets):
+                fate = frozenset(t.id for t in targets if isinstance(t, ast.Name))
+            case ast.stmt():
+                fate = DOUBT
+        open_ += [(x, fate, handed) for x in ast.iter_child_nodes(node)]
+    return literals, loose
+
+
+def provably_inert(text: str, asked: list[int]) -> list[int]:
+    """Of the lines asked for, those that hold literals of which each is a pattern or stays with its names. The source is parsed, never run."""
     try:
-        return _Source(text).inert(line)
+        literals, loose = literal_fates(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return False
+        return []
+    safe: dict[int, bool] = {}
+    wanted = set(asked)
+    for first, last, fate in literals:
+        stays = fate is PATTERN or bool(fate) and loose.isdisjoint(fate)
+        for line in wanted.intersection(range(first, last + 1)):
+            safe[line] = safe.get(line, True) and stays
+    return sorted(line for line, ok in safe.items() if ok)
 
 
 def inert_lines(text: pd.Series, lines: pd.Series) -> pd.Series:
     """Of the given lines of a file, those that are provably inert; a file is parsed once."""
-
-    def one(source: str, asked) -> list[int]:
-        try:
-            parsed = _Source(source)
-            return [int(n) for n in asked if parsed.inert(int(n))]
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return []
-
-    return pd.Series([one(t, a) for t, a in zip(text, lines, strict=True)])
+    return pd.Series([provably_inert(t, [int(n) for n in a]) for t, a in zip(text, lines, strict=True)])
 
 
 def suppress(findings: DataFrame, files: DataFrame, marker: str = MARKER) -> DataFrame:
     """Inline markers, then comments and docstrings, then quoted exemplars, then reachability.
 
-    Files are first cut down to those with findings; labels and syntax trees are made
-    once a file, not once a finding.
+    What a finding asks of its file is worked out inside the file's row, once for
+    each line asked about: texts are not shuffled while findings are few, and no more than the
+    line and its neighbours ever travels with a finding.
     """
+    findings = written(findings)
     asked = findings.where("line > 0").groupBy("file").agg(
         F.collect_set("line").alias("asked"), F.bool_or(F.col("engine") == "aisec").alias("behaviour"),
     )
-    context = files.select(F.col("path").alias("file"), "text").join(asked, "file").withColumn("lines", split_lines("text"))
-    context = context.withColumn("labels", F.when(F.col("behaviour"), line_labels(F.col("lines"), F.col("file"))))
-    python = context.where(F.col("behaviour") & F.col("file").endswith(".py")).select("file", F.pandas_udf(inert_lines, "array<int>")("text", "asked").alias("inert"))
-    context = context.drop("text", "asked", "behaviour").join(python, "file", "left")
-    rows = findings.join(context, "file", "left")
+    asked = broadcast_if_small(written(asked))
+    held = files.select(F.col("path").alias("file"), "text").join(asked, "file")
+    context = held.withColumn("lines", split_lines("text")).withColumn("labels", F.when(F.col("behaviour"), line_labels(F.col("lines"), F.col("file"))))
+    facts = context.select("file", "lines", "labels", F.explode("asked").alias("line"))
     n = F.col("line")
-    line = F.when(n > 0, F.try_element_at("lines", F.greatest(n, F.lit(1))))
-    around = F.array_join(F.slice("lines", F.greatest(n - 1, F.lit(1)), F.when(n > 1, 3).otherwise(2)), " ")
+    facts = facts.select(
+        "file", "line", F.try_element_at("lines", n).alias("__text"), F.col("labels").substr(n, F.lit(1)).alias("__letter"),
+        F.array_join(F.slice("lines", F.greatest(n - 1, F.lit(1)), F.when(n > 1, 3).otherwise(2)), " ").alias("__around"),
+    )
+    python = held.where(F.col("behaviour") & F.col("file").endswith(".py"))
+    inert = python.select("file", F.explode(F.pandas_udf(inert_lines, "array<int>")("text", "asked")).alias("line")).withColumn("__inert", F.lit(True))
+    rows = findings.join(facts, ["file", "line"], "left").join(inert, ["file", "line"], "left")
+    line, letter = F.col("__text"), F.col("__letter")
     marked = F.coalesce(comment_text(line, F.col("file")).rlike(marker), F.lit(False))
     open_aisec = ~F.col("filtered") & (F.col("engine") == "aisec") & line.isNotNull()
-    letter = F.col("labels").substr(n, F.lit(1))
     is_injection = F.col("category") == "PROMPT_INJECTION"
     reason = (
         F.when(marked, IGNORED)
         .when(open_aisec & (letter == "m"), IN_COMMENT)
         .when(open_aisec & (letter == "d"), IN_DOCSTRING)
-        .when(open_aisec & is_injection & F.when(open_aisec & is_injection, _exemplar(line, around)).otherwise(False), EXEMPLAR)
-        .when(open_aisec & F.coalesce(F.array_contains("inert", n), F.lit(False)), INERT)
+        .when(open_aisec & is_injection & F.when(open_aisec & is_injection, _exemplar(line, F.col("__around"))).otherwise(False), EXEMPLAR)
+        .when(open_aisec & F.coalesce("__inert", F.lit(False)), INERT)
     )
     rows = rows.withColumn("__reason", reason)
     rows = rows.withColumns({"filtered": F.col("filtered") | F.col("__reason").isNotNull(), "filter_reason": F.coalesce("__reason", "filter_reason")})

@@ -1,13 +1,12 @@
-"""Baseline triage: the first structural reason that explains a finding away, by prefix sums over a file's lines."""
+"""Baseline triage: the first structural reason that explains a finding away, from what stands before its line in the file."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import strip
-from .line_rules import lines_of
+from ..plans.shared import broadcast_if_small, written
 
 # Predicates and what each means.
 PREDICATES = {
@@ -17,23 +16,27 @@ PREDICATES = {
 TAXONOMY = r"(?:CWE-\d+|LLM\d{2}|A\d{2}:\d{4})"
 
 
-def line_facts(files: DataFrame) -> DataFrame:
-    """(path, line_no, line, depth, in_triple): brackets open before a line, and whether triple quotes before it are odd."""
-    lines = lines_of(files)
-    count = lambda chars: F.length("line") - F.length(F.translate("line", chars, ""))
-    triple = lambda q: (F.length("line") - F.length(F.replace("line", F.lit(q), F.lit("")))) / 3
-    lines = lines.withColumns({"step": count("([{") - count(")]}"), "triples": (triple('"""') + triple("'''")).cast("int")})
-    before = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return lines.select(
-        "path", "line_no", "line", F.coalesce(F.sum("step").over(before), F.lit(0)).alias("depth"), (F.coalesce(F.sum("triples").over(before), F.lit(0)) % 2 == 1).alias("in_triple")
+def line_facts(files: DataFrame, asked: DataFrame) -> DataFrame:
+    """(file, line, __line, depth, in_triple) of the lines asked for: brackets open before a line, and whether triple quotes before it are odd.
+
+    ``asked`` has a row for each file, with ``lines``. Facts come from the text before the line, inside the file's row.
+    """
+    held = files.select(F.col("path").alias("file"), "text").join(broadcast_if_small(asked), "file")
+    rows = held.select("file", "text", F.explode("lines").alias("line"))
+    rows = rows.select(
+        "file", "line", F.when(F.col("line") > 1, F.expr("substring_index(text, '\n', line - 1)")).otherwise("").alias("before"),
+        F.regexp_replace(F.expr("substring_index(substring_index(text, '\n', line), '\n', -1)"), r"\r\z", "").alias("__line"),
     )
+    count = lambda chars: F.length("before") - F.length(F.translate("before", chars, ""))
+    triple = lambda q: (F.length("before") - F.length(F.replace("before", F.lit(q), F.lit("")))) / 3
+    return rows.select("file", "line", "__line", (count("([{") - count(")]}")).alias("depth"), ((triple('"""') + triple("'''")).cast("int") % 2 == 1).alias("in_triple"))
 
 
 def classify(findings: DataFrame, files: DataFrame, fixture_dir: str = "fixtures/", detector_dir: str = "detectors/") -> DataFrame:
     """Findings with ``predicate`` and ``disposition``; only files with findings are read."""
-    held = files.join(findings.select(F.col("file").alias("path")).distinct(), "path", "left_semi")
-    facts = line_facts(held).select(F.col("path").alias("file"), F.col("line_no").alias("line"), F.col("line").alias("__line"), "depth", "in_triple")
-    rows = findings.join(facts, ["file", "line"], "left")
+    findings = written(findings)
+    asked = written(findings.where("line > 0").groupBy("file").agg(F.collect_set("line").alias("lines")))
+    rows = findings.join(line_facts(files, asked), ["file", "line"], "left")
     text = strip(F.coalesce("__line", F.lit("")))
     found = (
         F.when(F.col("file").startswith(fixture_dir), "P4-FIXTURE-CORPUS").when(F.col("file").endswith(".md"), "P5-DOC-PROSE").when(text.startswith("#"), "P2-COMMENT")

@@ -15,6 +15,7 @@ from ..operators.secrets import secret_findings
 from ..sources.files import from_table
 from . import report
 from .scan import Options, findings_of, scan
+from .shared import written
 from .specimens import LINES_SQL, corpus
 
 QUERIES: dict = {}
@@ -112,7 +113,7 @@ def _second_engine(findings: DataFrame) -> DataFrame:
     "(case when rule_id = 'remote-code-pipe' then 2 else confidence end)::int as confidence from elected where rn = 1"
 )
 def dedup_corroboration(spark, sf_dir):
-    found = line_findings(corpus(spark, sf_dir))
+    found = written(line_findings(corpus(spark, sf_dir)))
     both = dedup(found.unionByName(_second_engine(found)))
     return both.select("file", "line", "engine", F.array_join("corroborated_by", ",").alias("corroborated_by"), "confidence")
 
@@ -249,7 +250,7 @@ def fp_filter(spark, sf_dir):
 
 @query(f"with {HITS}, t as (select unnest(range(0, 5))::int as threshold), w as (select max(severity) as top from hits) select threshold, (case when top >= threshold then 1 else 3 end)::int as exit_code from t, w")
 def gate_exit(spark, sf_dir):
-    found = line_findings(corpus(spark, sf_dir))
+    found = written(line_findings(corpus(spark, sf_dir)))
     status = spark.createDataFrame([("aisec", "ok", ""), ("sast", "unavailable", "no report"), ("sca", "not-applicable", ""), ("secrets", "disabled", "")], "engine string, status string, detail string")
     out = None
     for t in range(5):

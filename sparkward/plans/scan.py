@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.finding import ENGINES, empty
 from ..operators import gate, sast, sca
-from ..functions.text import split_lines
 from ..operators.file_rules import from_mixed_words, from_unicode_hits, mixed_words, named_file_findings, special, unicode_hits
 from ..operators.interpret import interpret
-from ..operators.line_rules import from_rule_hits, rule_hits
+from ..operators.line_rules import from_rule_hits, lines_of, rule_hits, with_candidates, with_line_facts
 from ..operators.secrets import from_secret_hits, secret_findings, secret_hits
 from ..operators.suppress import suppress
 from ..sources.files import code_files
@@ -43,8 +42,10 @@ class Result:
 
 def _marked(files: DataFrame, engines: tuple[str, ...]) -> DataFrame:
     """Lines with a hit of any line-level detector: the texts are read once for all of them."""
-    lines = files.select("path", "in_scope", "in_secret_scope", F.posexplode(split_lines("text")).alias("at", "line"))
-    lines = lines.withColumn("line_no", F.col("at") + 1)
+    if "aisec" in engines:
+        files = with_candidates(files)
+    lines = lines_of(files, "in_scope", "in_secret_scope", *(["candidates"] if "aisec" in engines else []))
+    lines = with_line_facts(lines) if "aisec" in engines else lines
     hits = {}
     if "aisec" in engines:
         ours = {"rules": rule_hits(), "mixed": mixed_words(), **unicode_hits()}

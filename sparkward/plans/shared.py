@@ -6,6 +6,7 @@ every executor can reach, so a lost executor never loses them.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,12 +15,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one is chosen only where none is set."""
+    """The session's checkpoint folder; where none is set, a temporary one on a local master, and an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         if kept.isDefined():
             where = kept.get()
+        elif not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         else:
             where = "file://" + tempfile.mkdtemp(prefix="sparkward-")
             spark.sparkContext.setCheckpointDir(where)
@@ -34,6 +37,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(keys: DataFrame, most: int = 200_000) -> DataFrame:
+    """A table of short rows, broadcast while it has at most ``most`` of them; a join gives the same either way."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
 def numbered(df: DataFrame, group: list[str], order: list[str], out: str = "pos") -> tuple[DataFrame, list]:
     """Number the rows of each ``group`` from 0 in ``order``, without gathering a group in one task.
 

@@ -63,9 +63,11 @@ def test_exemplars_need_quotes_and_a_frame_nearby(spark):
 @pytest.mark.parametrize(("source", "line", "inert"), [
     ('import re\nR = re.compile("x")', 2, True), ('A = "x"\nimport re\nre.search(A, y)', 1, True), ('import os\nos.system("x")', 2, False), ('C = "x"\ns = os.system\ns(C)', 1, False),
     ('C = "x"\nrun(C)', 1, False), ("x = (", 1, False), ("x = 1", 1, False), ('"x"', 1, False), ('C = "x"', 1, True), ("f(k='x')", 1, False), ("\x00", 1, False),
+    ('API_KEYS = ["k"]', 1, True), ('const x = "k";', 1, False), ('import re\nprint(re.sub(A, "", s))\nA = "x"', 3, False), ('A, B = "x", "y"', 1, False), ('def f():\n    return "x"', 2, False),
+    ('A = rule("x")', 1, True), ('A = "x"; eval("y")', 1, False), ('A = B = """x\ny"""\ng(k=B)', 2, False), ('if "x":\n    A = "y"', 2, True), ('A = system("x")', 1, False), ('import re\nos.system(re.escape("x"))', 2, False),
 ])
 def test_reachability(source, line, inert):
-    assert suppress.provably_inert(source, line) is inert
+    assert (suppress.provably_inert(source, [line, 99]) == [line]) is inert
 
 
 def test_election_live_first_then_specific(spark):
