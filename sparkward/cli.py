@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import argparse
 import os
+import re
 import sys
 
 from pyspark.sql import SparkSession
 
+from . import __version__
 from .functions.text import SEVERITIES, SEVERITY_WORDS
 from .plans.report import as_json, as_text
 from .plans.scan import Options, exit_code, scan
 from .sources.files import MAX_BYTES, from_folder
 
 
+ENGINES = ("sast", "secrets", "sca", "aisec")
+
+
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sparkward", allow_abbrev=False)
     p.add_argument("target", nargs="?", default=".")
-    p.add_argument("--engines", default="sast,secrets,sca,aisec")
+    p.add_argument("--version", action="version", version=f"sparkward {__version__}")
+    p.add_argument("--engines", default="all", help="all, or some of " + ",".join(ENGINES))
     p.add_argument("--format", choices=["text", "json", "both"], default="text")
     p.add_argument("--out")
     p.add_argument("--min-severity", choices=SEVERITIES, default="INFO")
@@ -26,6 +32,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--sca-backend", choices=["auto", "osv", "pip-audit", "npm"], default="auto")
     p.add_argument("--sast-report", help="JSON that the code matcher wrote")
     p.add_argument("--sca-report", action="append", default=[], metavar="TOOL=FILE", help="JSON that osv-scanner, pip-audit or npm wrote")
+    p.add_argument("--sca-exit", action="append", default=[], metavar="TOOL=STATUS", help="the exit status that a tool left with; 0 where it is not given")
     p.add_argument("--max-file-size", type=int, default=MAX_BYTES)
     p.add_argument("--exclude", action="append", default=[])
     p.add_argument("--quiet", action="store_true")
@@ -37,8 +44,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 
     parser = _parser()
     args = parser.parse_args(argv)
-    engines = tuple(e.strip() for e in args.engines.split(",") if e.strip())
-    if not os.path.exists(args.target) or not engines or set(engines) - {"sast", "secrets", "sca", "aisec"} or "" in args.exclude:
+    engines = ENGINES if args.engines.strip() == "all" else tuple(e.strip() for e in args.engines.split(",") if e.strip())
+    exits = dict(x.partition("=")[::2] for x in args.sca_exit)
+    bad_exit = any(not re.fullmatch(r"-?\d+", n) for n in exits.values())
+    if not os.path.exists(args.target) or not engines or set(engines) - set(ENGINES) or "" in args.exclude or bad_exit:
         parser.print_usage(sys.stderr)
         return 2
     spark = spark or SparkSession.builder.appName("sparkward").getOrCreate()
@@ -49,7 +58,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     for given in args.sca_report:
         tool, _, path = given.partition("=")
         text = one(path)
-        options.sca_statuses[tool] = report_status(tool, 0, text)
+        options.sca_statuses[tool] = report_status(tool, int(exits.get(tool, 0)), text)
         options.sca_reports[tool] = spark.createDataFrame([(os.path.basename(path), text)], "file string, json string")
     result = scan(spark, from_folder(spark, args.target, args.exclude, args.max_file_size), options)
     reports = {"txt": as_text(result, args.target, options.min_severity), "json": as_json(result, args.target, options.min_severity)}

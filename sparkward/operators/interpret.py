@@ -10,10 +10,11 @@ from ..functions.text import SEVERITIES, basename
 
 # Which engine leads on a tie, lockfiles, generated assets, and paths that discuss security.
 ENGINE_RANK = {"sca": 4, "sast": 3, "secrets": 2, "aisec": 1}
-LOCKFILES = (
-    "package-lock.json yarn.lock pnpm-lock.yaml npm-shrinkwrap.json poetry.lock pdm.lock pipfile.lock uv.lock conda-lock.yml cargo.lock gemfile.lock "
-    "composer.lock go.sum packages.lock.json flake.lock mix.lock podfile.lock package.resolved gradle.lockfile"
-).split()
+LOCKFILES = [
+    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "npm-shrinkwrap.json", "poetry.lock", "pdm.lock", "pipfile.lock", "uv.lock", "conda-lock.yml",
+    "cargo.lock", "gemfile.lock", "composer.lock", "go.sum", "packages.lock.json", "flake.lock", "mix.lock", "podfile.lock", "package.resolved",
+    "gradle.lockfile",
+]
 GENERATED = (".min.js", ".min.css", ".map", ".snap")
 DOC_PATHS = ("readme", "changelog", "docs/", "/doc/", "license", "limits", "architecture")
 

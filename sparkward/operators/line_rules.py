@@ -30,64 +30,64 @@ class Rule(NamedTuple):
     needs: tuple[tuple[str, ...], ...] = ()
 
 
-# The rules' patterns and texts.
+# The rules' identifiers, patterns, ranks, categories and CWE numbers.
 _INJECTION, _SUPPLY, _DISCLOSURE = "LLM01: Prompt Injection", "LLM05: Supply Chain", "LLM06: Sensitive Information Disclosure"
 RULES = [
-    Rule("prompt-injection-override", "Instruction-override phrasing",
+    Rule("prompt-injection-override", "Words that set earlier instructions aside",
          r"(?i)\b(ignore|disregard|forget)\b[^.\n]{0,40}\b(all\s+)?(previous|prior|above|earlier|the\s+system|your)\b[^.\n]{0,20}\b(instruction|prompt|rule|direction|context)",
-         3, 1, "PROMPT_INJECTION", "CWE-77", _INJECTION, "Treat this text as untrusted data, not instructions; do not let file content steer the agent.",
+         3, 1, "PROMPT_INJECTION", "CWE-77", _INJECTION, "Hand the text to a model as data, marked off from what the model is told to do.",
          (("ignore", "disregard", "forget"), ("instruction", "prompt", "rule", "direction", "context"))),
-    Rule("prompt-injection-new-instructions", "Injected 'new instructions' block",
+    Rule("prompt-injection-new-instructions", "Heading that announces other instructions",
          r"(?i)\b(new|updated|revised|real|actual)\s+(instruction|system\s+prompt|directive|task)s?\s*[:\-]",
-         2, 0, "PROMPT_INJECTION", "CWE-77", _INJECTION, "Do not follow instructions embedded in scanned/tool-returned content.",
+         2, 0, "PROMPT_INJECTION", "CWE-77", _INJECTION, "Let no document announce tasks to whoever reads it; take the heading out.",
          (("instruction", "system", "directive", "task"), (":", "-"))),
-    Rule("prompt-injection-role-hijack", "Role/authority hijack",
+    Rule("prompt-injection-role-hijack", "Words that give the reader another role",
          r"(?i)\b(you\s+are\s+now|from\s+now\s+on\s+you|act\s+as\s+(an?\s+)?(unrestricted|jailbroken|dan|developer\s+mode)|do\s+anything\s+now|pretend\s+you\s+have\s+no\s+(rules|restrictions))\b",
-         3, 1, "PROMPT_INJECTION", "CWE-77", _INJECTION, "Reject role-reassignment attempts originating from data/content.",
+         3, 1, "PROMPT_INJECTION", "CWE-77", _INJECTION, "Take roles from the system prompt alone and drop such lines from documents.",
          (("now", "unrestricted", "jailbroken", "dan", "developer", "pretend"), ("you", "act", "anything", "pretend"))),
-    Rule("prompt-injection-system-role", "Fake system/assistant role marker in data",
+    Rule("prompt-injection-system-role", "Chat role marker inside a document",
          r"(?im)^\s*(?:<\|?(system|assistant)\|?>|\[/?(system|inst)\]|###\s*system\s*:|system\s+prompt\s*:)",
-         2, 0, "PROMPT_INJECTION", "CWE-77", _INJECTION, "Strip chat-role delimiters from untrusted content before it reaches a model.",
+         2, 0, "PROMPT_INJECTION", "CWE-77", _INJECTION, "Escape role markers before the document becomes part of a chat.",
          (("system", "assistant", "inst]"),)),
-    Rule("agent-directed-imperative", "Agent-directed imperative in content",
+    Rule("agent-directed-imperative", "Order to an assistant inside a document",
          r"(?i)\b(assistant|claude|chatgpt|gpt|copilot|the\s+ai|the\s+agent|the\s+model)\s*,?\s+(please\s+)?(run|execute|curl|wget|send|email|forward|delete|exfiltrate|post|upload|fetch|disable|ignore)\b",
-         3, 1, "PROMPT_INJECTION", "CWE-77", _INJECTION, "Content that addresses the agent by name and issues commands is a hostile-injection signal.",
+         3, 1, "PROMPT_INJECTION", "CWE-77", _INJECTION, "Find out who wrote the order and why; documents have no say in what an assistant runs.",
          (("assistant", "claude", "gpt", "copilot", "ai", "agent", "model"), ("run", "execute", "curl", "wget", "send", "email", "forward", "delete", "exfiltrate", "post", "upload", "fetch", "disable", "ignore"))),
-    Rule("safety-bypass-instruction", "Instruction to disable safety / auto-approve",
+    Rule("safety-bypass-instruction", "Words that switch off checks or approvals",
          r"(?i)\b(auto[\-\s]?approve|disable\s+(the\s+)?(safety|guard|guardrail|confirmation|sandbox|protection)|bypass\s+(the\s+)?(gate|approval|permission|review|check)|skip\s+(the\s+)?(review|audit|confirmation|approval|permission)|without\s+(asking|confirmation|approval|human)|no\s+confirmation\s+needed)\b",
-         3, 1, "SAFETY_BYPASS", "CWE-807", _INJECTION, "An agent instruction that removes human approval or safety checks; require review before honoring it.",
+         3, 1, "SAFETY_BYPASS", "CWE-807", _INJECTION, "Let a person decide on every step that the line wants to leave unchecked.",
          (("approve", "disable", "bypass", "skip", "without", "confirmation"),)),
-    Rule("dangerous-permission-flag", "Dangerous agent/CLI permission flag",
+    Rule("dangerous-permission-flag", "Option that skips permission prompts",
          r"(?i)(--dangerously-skip-permissions|--yes-really|--no-verify\b|--disable-sandbox|--allow-all|acceptAll|autoApprove\s*[:=]\s*true)",
-         3, 1, "SAFETY_BYPASS", "CWE-250", _INJECTION, "Flags that skip permission prompts or verification should never be baked into shared config.",
+         3, 1, "SAFETY_BYPASS", "CWE-250", _INJECTION, "Leave the option out of files that others run; give it by hand where it is needed.",
          (("--", "acceptall", "autoapprove"),)),
-    Rule("privilege-escalation", "Privilege escalation / world-writable",
+    Rule("privilege-escalation", "Command that raises privileges or opens files to all",
          r"(?i)\b(sudo\s+\S|chmod\s+777|chmod\s+-R\s+777|run\s+as\s+root|setuid)\b",
-         2, 0, "SAFETY_BYPASS", "CWE-250", _INJECTION, "Avoid privilege escalation and world-writable permissions in automation.",
+         2, 0, "SAFETY_BYPASS", "CWE-250", _INJECTION, "Run the step as an ordinary user and name the exact rights that it needs.",
          (("sudo", "chmod", "root", "setuid"),)),
-    Rule("remote-code-pipe", "Remote code execution via curl|sh",
+    Rule("remote-code-pipe", "Download that is handed to a shell",
          r"(?i)\b(curl|wget)\b[^\n|]{0,200}\|\s*(sudo\s+)?(sh|bash|zsh|python[0-9.]*|node|pwsh|powershell)\b",
-         3, 2, "EXFIL", "CWE-494", _SUPPLY, "Never pipe a remote script straight into a shell; download, review, pin a checksum, then run.",
+         3, 2, "EXFIL", "CWE-494", _SUPPLY, "Save the script, compare its checksum with a known one, read it and only then run it.",
          (("curl", "wget"), ("|",))),
-    Rule("powershell-download-exec", "PowerShell download-and-execute",
+    Rule("powershell-download-exec", "Download that PowerShell evaluates",
          r"(?i)(Invoke-Expression|iex)\b[^\n]{0,80}(Invoke-WebRequest|iwr|DownloadString|Net\.WebClient)",
-         3, 2, "EXFIL", "CWE-494", _SUPPLY, "Do not execute downloaded content; fetch, inspect, and verify before running.",
+         3, 2, "EXFIL", "CWE-494", _SUPPLY, "Save what is fetched and look at it before anything evaluates it.",
          (("iex", "invoke-expression"), ("invoke-webrequest", "iwr", "downloadstring", "net.webclient"))),
-    Rule("sensitive-file-read", "Read of sensitive credential path",
+    Rule("sensitive-file-read", "Path of a credential store",
          r"(?i)(~|\$HOME|%USERPROFILE%)?[/\\]?\.(aws/credentials|ssh/id_[a-z0-9]+|ssh/id_rsa|netrc|npmrc|docker/config\.json|kube/config|config/gcloud|gnupg)\b|\bid_rsa\b",
-         2, 0, "EXFIL", "CWE-200", _DISCLOSURE, "Confirm why credential files are accessed; agents/scripts should not read ~/.aws, ~/.ssh, etc.",
+         2, 0, "EXFIL", "CWE-200", _DISCLOSURE, "Find out what the file is needed for, and hand the one credential over by other means.",
          ((".aws/", ".ssh/", "netrc", "npmrc", "docker/", "kube/", "config/", "gnupg", "id_rsa"),)),
-    Rule("env-exfil", "Environment dump sent to network",
+    Rule("env-exfil", "Environment variables that go to the network",
          r"(?i)\b(printenv|env\b|os\.environ|process\.env|Get-ChildItem\s+env:)[^\n]{0,120}\b(curl|wget|fetch|requests\.(post|get)|Invoke-WebRequest|http\.client|axios|urllib)\b",
-         3, 1, "EXFIL", "CWE-200", _DISCLOSURE, "Sending environment variables to a network endpoint is a classic secret-exfiltration pattern.",
+         3, 1, "EXFIL", "CWE-200", _DISCLOSURE, "Send single named values in place of the environment, which usually holds secrets.",
          (("env", "os.environ"), ("curl", "wget", "fetch", "requests.", "invoke-webrequest", "http.client", "axios", "urllib"))),
-    Rule("base64-exfil", "Base64-encoded data piped to network",
+    Rule("base64-exfil", "Encoded data that goes to the network",
          r"(?i)\bbase64\b[^\n|]{0,60}\|[^\n]{0,60}\b(curl|wget|nc|ncat)\b",
-         3, 1, "EXFIL", "CWE-200", _DISCLOSURE, "Base64+network piping is often used to obfuscate exfiltrated data.",
+         3, 1, "EXFIL", "CWE-200", _DISCLOSURE, "Find out what is encoded here, and who receives it.",
          (("base64",), ("|",), ("curl", "wget", "nc"))),
-    Rule("dns-exfil", "Possible DNS exfiltration",
+    Rule("dns-exfil", "Host name made from the output of a command",
          r"(?i)\b(nslookup|dig|host)\b[^\n]{0,60}\$\(|\bcurl\b[^\n]{0,60}\.(?:oast|burpcollaborator|interact\.sh|requestbin)\b",
-         2, 0, "EXFIL", "CWE-200", _DISCLOSURE, "Dynamic hostname lookups can smuggle data out over DNS; verify the destination.",
+         2, 0, "EXFIL", "CWE-200", _DISCLOSURE, "Look up fixed names only; names made of data tell that data to whoever answers.",
          (("nslookup", "dig", "host", "curl"), ("$(", "oast", "burpcollaborator", "interact.sh", "requestbin"))),
 ]
 
@@ -111,17 +111,23 @@ def _folded(text: str) -> Column:
     return F.lower(F.upper(text))
 
 
+def settled(rows: DataFrame, keep: Column | None = None) -> DataFrame:
+    """``rows``, or those to keep, with columns that later filters read as they are: without the row number, Catalyst would copy what makes them into each filter."""
+    numbered = rows.withColumn("__row", F.monotonically_increasing_id())
+    return numbered.where((F.col("__row") >= 0) & (F.lit(True) if keep is None else keep)).drop("__row")
+
+
 def with_candidates(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """Files with ``candidates``: the numbers of the rules whose words the whole text has; no line of it can match another."""
     known = files.withColumn("folded_text", _folded("text"))  # in a projection of its own, so that it is worked out once
     may = F.filter(F.array(*[F.when(_may("folded_text", r), F.lit(i)) for i, r in enumerate(rules)]), lambda x: x.isNotNull())
-    return known.withColumn("candidates", may).drop("folded_text")
+    return settled(known.withColumn("candidates", may).drop("folded_text"))
 
 
 def with_line_facts(lines: DataFrame) -> DataFrame:
     """Lines of files with candidates, with what ``rule_hits`` reads of each: its folded case and whether it is ASCII."""
     some = (F.size("candidates") > 0) & (F.length("line") <= LONGEST)
-    return lines.withColumns({"folded": F.when(some, _folded("line")), "ascii": F.octet_length("line") == F.length("line")})
+    return settled(lines.withColumns({"folded": F.when(some, _folded("line")), "ascii": F.octet_length("line") == F.length("line")}))
 
 
 def rule_hits(rules: list[Rule] = RULES) -> Column:
@@ -154,4 +160,5 @@ def line_findings(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """The findings of line rules over files in scope."""
     files = with_candidates(files.where("in_scope"), rules).where(F.size("candidates") > 0)
     lines = with_line_facts(lines_of(files, "candidates"))
-    return from_rule_hits(lines.select("path", "line_no", "line", rule_hits(rules).alias("rules")), rules)
+    hits = lines.select("path", "line_no", "line", rule_hits(rules).alias("rules"))
+    return from_rule_hits(settled(hits, F.size("rules") > 0), rules)

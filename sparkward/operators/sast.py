@@ -67,5 +67,5 @@ def opened_files(reports: DataFrame) -> DataFrame:
 def scope_status(enumerated: int, opened: int) -> tuple[str, str]:
     """Two independent counts must agree that something was read."""
     if opened == 0 and enumerated > 0:
-        return "error", f"scope disagreement: {enumerated} code file(s) enumerated here and the matcher opened 0. a zero from an engine that opened nothing is not a clean result."
+        return "error", f"{enumerated} code file(s) are in scope here, but the matcher says that it opened none: its silence proves nothing"
     return "ok", ""

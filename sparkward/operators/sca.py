@@ -10,9 +10,9 @@ from ..functions.finding import finding, unfolded
 from ..functions.text import SEVERITIES, basename, label, severity
 
 # Manifests by exact name, and folders that are not searched.
-PY_MANIFESTS = "requirements.txt requirements-dev.txt requirements.in Pipfile.lock poetry.lock pyproject.toml".split()
-NODE_MANIFESTS = "package-lock.json npm-shrinkwrap.json yarn.lock pnpm-lock.yaml".split()
-MANIFESTS = PY_MANIFESTS + NODE_MANIFESTS + "go.mod go.sum Cargo.lock Gemfile.lock composer.lock pom.xml build.gradle gradle.lockfile mix.lock".split()
+PY_MANIFESTS = ["requirements.txt", "requirements-dev.txt", "requirements.in", "Pipfile.lock", "poetry.lock", "pyproject.toml"]
+NODE_MANIFESTS = ["package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml"]
+MANIFESTS = PY_MANIFESTS + NODE_MANIFESTS + ["go.mod", "go.sum", "Cargo.lock", "Gemfile.lock", "composer.lock", "pom.xml", "build.gradle", "gradle.lockfile", "mix.lock"]
 SKIP = [".git", "node_modules", "venv", ".venv", "__pycache__", "dist", "build", "vendor"]
 OWASP = "A06:2021 Vulnerable and Outdated Components"
 OSV = (

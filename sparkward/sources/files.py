@@ -19,25 +19,28 @@ SKIP_DIRS = [
 ]
 SECRETS_SKIP_DIRS = [".git", ".hg", ".svn"]
 # Extensions and names of text files, and the hooks that git runs.
-TEXT_EXTENSIONS = (
-    ".py .pyi .js .jsx .ts .tsx .mjs .cjs .vue .svelte .java .kt .kts .scala .groovy .go .rs .rb .php .c .h .cc .cpp .hpp .cs .swift .m .mm .dart "
-    ".sh .bash .zsh .ps1 .psm1 .bat .cmd .pl .lua .r .sql .graphql .proto .html .htm .xml .svg .json .jsonc .yaml .yml .toml .ini .cfg .conf "
-    ".env .properties .tf .tfvars .hcl .md .markdown .mdx .mdc .rst .txt .text .dockerfile .gitconfig .npmrc .pem .key .crt .cer .pub .asc .ppk .pk8"
-).split()
-GIT_HOOKS = (
-    "applypatch-msg pre-applypatch post-applypatch pre-commit pre-merge-commit prepare-commit-msg commit-msg post-commit pre-rebase post-checkout "
-    "post-merge pre-push pre-receive update proc-receive post-receive post-update reference-transaction push-to-checkout pre-auto-gc post-rewrite "
-    "sendemail-validate fsmonitor-watchman post-index-change"
-).split()
-TEXT_NAMES = GIT_HOOKS + (
-    "dockerfile makefile procfile jenkinsfile vagrantfile .env .env.local .env.production .env.development .env.example .npmrc .netrc .pypirc "
-    ".dockercfg .gitconfig claude.md agents.md skill.md readme readme.md .cursorrules .clinerules .windsurfrules .roorules .aiderrules .goosehints "
-    ".continuerules copilot-instructions.md gemini.md qwen.md cline_instructions.md gemfile rakefile berksfile id_rsa id_dsa id_ecdsa id_ed25519 id_rsa.pub"
-).split()
-CODE_EXTENSIONS = (
-    ".py .pyi .js .jsx .mjs .cjs .ts .tsx .java .kt .kts .go .rb .php .cs .c .h .cc .cpp .hpp .cxx .rs .swift .scala .sh .bash .sol .ex .exs .lua "
-    ".dart .m .mm .clj .cljs .hcl .tf .vue"
-).split()
+TEXT_EXTENSIONS = [
+    ".py", ".pyi", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".vue", ".svelte", ".java", ".kt", ".kts", ".scala", ".groovy", ".go", ".rs", ".rb",
+    ".php", ".c", ".h", ".cc", ".cpp", ".hpp", ".cs", ".swift", ".m", ".mm", ".dart", ".sh", ".bash", ".zsh", ".ps1", ".psm1", ".bat", ".cmd", ".pl",
+    ".lua", ".r", ".sql", ".graphql", ".proto", ".html", ".htm", ".xml", ".svg", ".json", ".jsonc", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".conf",
+    ".env", ".properties", ".tf", ".tfvars", ".hcl", ".md", ".markdown", ".mdx", ".mdc", ".rst", ".txt", ".text", ".dockerfile", ".gitconfig", ".npmrc",
+    ".pem", ".key", ".crt", ".cer", ".pub", ".asc", ".ppk", ".pk8",
+]
+GIT_HOOKS = [
+    "applypatch-msg", "pre-applypatch", "post-applypatch", "pre-commit", "pre-merge-commit", "prepare-commit-msg", "commit-msg", "post-commit",
+    "pre-rebase", "post-checkout", "post-merge", "pre-push", "pre-receive", "update", "proc-receive", "post-receive", "post-update",
+    "reference-transaction", "push-to-checkout", "pre-auto-gc", "post-rewrite", "sendemail-validate", "fsmonitor-watchman", "post-index-change",
+]
+TEXT_NAMES = GIT_HOOKS + [
+    "dockerfile", "makefile", "procfile", "jenkinsfile", "vagrantfile", ".env", ".env.local", ".env.production", ".env.development", ".env.example",
+    ".npmrc", ".netrc", ".pypirc", ".dockercfg", ".gitconfig", "claude.md", "agents.md", "skill.md", "readme", "readme.md", ".cursorrules", ".clinerules",
+    ".windsurfrules", ".roorules", ".aiderrules", ".goosehints", ".continuerules", "copilot-instructions.md", "gemini.md", "qwen.md",
+    "cline_instructions.md", "gemfile", "rakefile", "berksfile", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", "id_rsa.pub",
+]
+CODE_EXTENSIONS = [
+    ".py", ".pyi", ".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".java", ".kt", ".kts", ".go", ".rb", ".php", ".cs", ".c", ".h", ".cc", ".cpp", ".hpp",
+    ".cxx", ".rs", ".swift", ".scala", ".sh", ".bash", ".sol", ".ex", ".exs", ".lua", ".dart", ".m", ".mm", ".clj", ".cljs", ".hcl", ".tf", ".vue",
+]
 
 
 def splitext(name: Column) -> Column:
