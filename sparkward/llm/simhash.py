@@ -22,17 +22,19 @@ fingerprints ``PRINTS`` of those, each covered to radius 4 (31 tables), give the
 candidates, and their exact similarity decides. A similar pair within the radius
 in one of them always ends in one component; a similar pair that is beyond it in
 all of them may not be found (README has the measured share). Buckets of up to ``SMALL``
-texts give all their pairs. The texts of a larger one are first compared with its
-first text, which joins most of a large group of near copies. Where that leaves
+texts give all their pairs. A text in larger ones is first compared with one other, the first text
+of most of its buckets, which joins most of a large group of near copies in linear size. Where that leaves
 more than one component in a bucket, all its texts go through an exact join of their
 shingle sets by prefixes: shingles are ordered from rare to common, and two sets of
 the similarity share one among the first fifth of each. Pairs of one component need
-no comparison, so a group of near copies is not listed pair by pair.
+no comparison, so a group of near copies is not listed pair by pair, and no pair of a
+bucket, however large, is left out.
 
 Defined cases: a null or blank text has fingerprint zero, which links like any
 other; rows with a null doc_id keep their fingerprint and take the component of
 their class (null if the whole class has no id); repeated rows and repeated ids
-are separate rows; other columns of the input are ignored.
+are separate rows; other columns of the input are ignored, and pass through ``keep_one`` whatever
+their names. There, texts are told apart by their 64-bit XXH64 and shingles by 32 bits of theirs.
 """
 
 from __future__ import annotations
@@ -48,6 +50,7 @@ from xxhash import xxh64_intdigest
 
 from ..operators.components import connected_components
 from ..plans.shared import written
+from .names import fresh
 
 #: Shingles whose bits are added up at a time, so that a very long text needs little memory.
 BLOCK = 1 << 16
@@ -140,7 +143,7 @@ def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
 
 SMALL, RADIUS, SIMILARITY, SHINGLE = 4, 4, 0.8, 5
 #: Rows of a table of keys (32 bytes each at most) that are broadcast; beyond it they are joined by a shuffle.
-MANY_KEYS = 1_000_000
+MANY_KEYS = 300_000
 #: (words, seed) of the fingerprints of distinct shingles that find candidates.
 PRINTS = ((1, 42), (2, 42), (1, 43))
 
@@ -174,7 +177,7 @@ def _candidates(nodes: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     more = written(rows.join(_small(crowded), "key"))
     few = more.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("cls")).alias("x"))
     few = few.select(F.explode(F.expr("flatten(transform(x, (p, i) -> transform(slice(x, i + 2, size(x)), q -> struct(p as u, q as v))))")).alias("p")).select("p.u", "p.v")
-    stars = more.where(F.col("n") > SMALL).select("u", F.col("cls").alias("v"))
+    stars = _modes(more.where(F.col("n") > SMALL).select("u", F.col("cls").alias("v")))
     pairs = sizes.where("n = 2").select("u", "v").union(few).union(stars).where("u < v").distinct()
     left = nodes.select(F.col("cls").alias("u"), *[F.col(n).alias(f"u_{n}") for n in names])
     right = nodes.select(F.col("cls").alias("v"), *[F.col(n).alias(f"v_{n}") for n in names])
@@ -182,6 +185,12 @@ def _candidates(nodes: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     return pairs.join(left, "u").join(right, "v").where(apart <= radius).select("u", "v"), more.where(F.col("n") > SMALL).select("key", "cls")
 
 
+def _modes(pairs: DataFrame) -> DataFrame:
+    """(u, v) pairs with repeats -> for each v, the u that it is paired with most often: as many rows as texts."""
+    often = pairs.where("u <> v").groupBy("v", "u").agg(F.count("*").alias("n"))
+    return often.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u")).select("u", "v")
+
+
 def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     """(key, cls, ...) -> the members of keys that hold more than one component, with their root."""
     rooted = members.join(_small(roots.withColumnRenamed("node", "cls")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -223,10 +232,10 @@ def _settled(found: DataFrame, members: DataFrame, sets: DataFrame, similarity:
     if not open_.limit(1).count():
         return roots
     rows = _prefixes(sets.join(_small(open_), "cls", "left_semi"), similarity)
-    # once with the first text of each shingle, in linear size, then all pairs of different components
+    # once with the first text of most of its shingles, in linear size, then all pairs of different components
     mixed = _mixed(rows, roots)
     firsts = _small(written(mixed.groupBy("key").agg(F.min(F.struct("cls", "n", "pos", "root")).alias("f")).select("key", F.col("f.cls").alias("u"), F.col("f.n").alias("m"), F.col("f.pos").alias("qos"), F.col("f.root").alias("other"))))
-    stars = mixed.join(firsts, "key").where(F.col("root") != F.col("other")).where(_may_be(similarity)).select("u", F.col("cls").alias("v")).distinct()
+    stars = _modes(mixed.join(firsts, "key").where(F.col("root") != F.col("other")).where(_may_be(similarity)).select("u", F.col("cls").alias("v")))
     found = written(found.union(_verified(stars, sets, similarity)))
     roots = written(connected_components(found))
     mixed = written(_mixed(rows, roots))
@@ -289,14 +298,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, radius: int
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id; the columns stay."""
-    own = docs.withColumn("__sim_cls", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).withColumn("__sim_id", F.col("doc_id").cast("long"))
+    p = fresh(docs, "sim")
+    own = docs.withColumn(f"{p}cls", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).withColumn(f"{p}id", F.col("doc_id").cast("long"))
     roots = near_duplicates(docs, similarity, radius)
-    rows = own.groupBy(F.col("__sim_id").alias("id"), F.col("__sim_cls").alias("cls")).agg(F.count("*").alias("n"))
-    rows = written(rows.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    rows = own.groupBy(F.col(f"{p}id").alias("id"), F.col(f"{p}cls").alias("cls")).agg(F.count("*").alias("n"))
+    rows = written(rows.join(_small(written(roots)), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
     order = F.struct(F.col("id").isNull(), "id", "cls")
-    best = rows.groupBy("root").agg(F.min(order).alias("best"))
-    lost = _small(written(rows.join(best, "root").where(~order.eqNullSafe(F.col("best"))).select("id", "cls")))
-    out = own.join(lost, own["__sim_id"].eqNullSafe(lost["id"]) & (own["__sim_cls"] == lost["cls"]), "left_anti")
+    groups = written(rows.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("members")).where("members > 1").select("root", "best"))
+    lost = _small(written(rows.join(_small(groups), "root").where(~order.eqNullSafe(F.col("best"))).select(F.col("id").alias(f"{p}lost_id"), F.col("cls").alias(f"{p}lost_cls"))))
+    out = own.join(lost, own[f"{p}id"].eqNullSafe(lost[f"{p}lost_id"]) & (own[f"{p}cls"] == lost[f"{p}lost_cls"]), "left_anti")
     if rows.where("n > 1").limit(1).count():  # rows with the same id and the same text
-        out = out.dropDuplicates(["__sim_id", "__sim_cls"])
+        out = out.dropDuplicates([f"{p}id", f"{p}cls"])
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
