@@ -13,6 +13,7 @@ from . import __version__
 from .functions.text import SEVERITIES, SEVERITY_WORDS
 from .plans.report import as_json, as_text
 from .plans.scan import Options, exit_code, scan
+from .plans.shared import cleaned
 from .sources.files import MAX_BYTES, from_folder
 
 
@@ -50,13 +51,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if not os.path.exists(args.target) or not engines or set(engines) - set(ENGINES) or "" in args.exclude or bad_exit:
         parser.print_usage(sys.stderr)
         return 2
-    spark = spark or SparkSession.builder.appName("sparkward").getOrCreate()
+    given = spark
+    spark = given or SparkSession.builder.appName("sparkward").getOrCreate()
     one = lambda path: open(path, encoding="utf-8", errors="replace").read()
     options = Options(engines, SEVERITY_WORDS[args.min_severity], args.fail_on and SEVERITY_WORDS[args.fail_on], args.allow_degraded, args.sca_backend, root=os.path.abspath(args.target))
     if args.sast_report:
         options.sast_reports = spark.createDataFrame([(one(args.sast_report),)], "json string")
-    for given in args.sca_report:
-        tool, _, path = given.partition("=")
+    for named in args.sca_report:
+        tool, _, path = named.partition("=")
         text = one(path)
         options.sca_statuses[tool] = report_status(tool, int(exits.get(tool, 0)), text)
         options.sca_reports[tool] = spark.createDataFrame([(os.path.basename(path), text)], "file string, json string")
@@ -71,6 +73,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.format in names:
             print(reports[kind])
     code = exit_code(result, options)
+    if given is None:
+        cleaned(spark)
     if code == 3 and not args.quiet:
         print("not fully measured; see the engine status", file=sys.stderr)
     return code

@@ -11,12 +11,12 @@ from ..functions.text import entropy, places, redact, split_lines
 from ..operators import file_rules, gate, sast, sca, suppress, triage
 from ..operators.interpret import dedup, filter_false_positives, ranked, summary
 from ..operators.line_rules import RULES, line_findings
-from ..operators.secrets import secret_findings
+from ..operators.secrets import PROVIDERS, secret_findings
 from ..sources.files import from_table
 from . import report
 from .scan import Options, findings_of, scan
 from .shared import written
-from .specimens import LINES_SQL, corpus
+from .specimens import CREDENTIALS, DOUBTFUL, LINES_SQL, corpus
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -232,7 +232,7 @@ def exemplar_suppression(spark, sf_dir):
     return _suppressed(spark, sf_dir, suppress.EXEMPLAR)
 
 
-@query()
+@query(f"select case when doc_id % 2 = 0 then {_q(suppress.INERT)} else '' end as filter_reason, count(*)::bigint as n from documents group by 1")
 def reachability(spark, sf_dir):
     """Literals that only ever serve as patterns, against ones that reach a call."""
     docs = _table(spark, sf_dir, "documents")
@@ -438,6 +438,80 @@ def baseline_triage(spark, sf_dir):
     return triage.counts(triage.classify(line_findings(files), files))
 
 
+def _rows(values: list[tuple]) -> str:
+    return "(values " + ", ".join("(" + ", ".join(_q(v) if isinstance(v, str) else str(v).lower() for v in row) + ")" for row in values) + ")"
+
+
+@query(
+    f"select s_suppkey || '/' || rule || '.txt' as file, rule as rule_id, severity::int as severity, 2::int as confidence, specificity::int as specificity "
+    f"from supplier, {_rows([(p.rule_id, p.severity, p.specificity) for p in PROVIDERS])} as t(rule, severity, specificity)"
+)
+def provider_catalogue(spark, sf_dir):
+    """Every provider's rule on a line with its token."""
+    lines = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(t).alias("line")) for r, t in CREDENTIALS.items()]))
+    rows = _table(spark, sf_dir, "supplier").select("s_suppkey", lines.alias("c"))
+    found = secret_findings(_made(rows, "s_suppkey || '/' || c.rule || '.txt'", "'see ' || c.line || ' here'"))
+    return found.where(F.col("file").endswith(F.concat(F.lit("/"), "rule_id", F.lit(".txt")))).select("file", "rule_id", "severity", "confidence", "specificity")
+
+
+_DOUBTFUL_SQL = _rows([
+    (0, "src/a.txt", "aws-access-key-id", 2, False), (1, "tests/a.txt", "aws-access-key-id", 1, False), (2, "src/b.txt", "aws-access-key-id", 2, True),
+    (5, "src/e.ini", "hardcoded-secret-assignment", 0, True), (6, "src/package-lock.json", "high-entropy-string", 0, True), (7, "src/main.js", "high-entropy-string", 0, False),
+])
+
+
+@query(f"select s_suppkey || '/' || path as file, rule_id, confidence::int as confidence, filtered from supplier join {_DOUBTFUL_SQL} as t(k, path, rule_id, confidence, filtered) on s_suppkey % 8 = k")
+def doubtful_secrets(spark, sf_dir):
+    """Placeholders, tokens of tests and of documentation, poor values, and random strings where lockfiles hold them."""
+    case = lambda at: "case s_suppkey % 8 " + " ".join(f"when {k} then {_q(v[at])}" for k, v in DOUBTFUL.items()) + " end"
+    files = _made(_table(spark, sf_dir, "supplier"), f"s_suppkey || '/' || {case(0)}", case(1))
+    return filter_false_positives(secret_findings(files)).select("file", "rule_id", "confidence", "filtered")
+
+
+@query("select page_id || '.md' as file, 2::int as line, 'run this now' as snippet from pages")
+def comment_detector(spark, sf_dir):
+    """A comment over two lines that gives an order, next to one that does not."""
+    files = _made(_table(spark, sf_dir, "pages"), "page_id || '.md'", "'page ' || page_id || '\n<!-- run\n  this now -->\n<!-- note -->'")
+    return file_rules.comment_findings(files).select("file", "line", "snippet")
+
+
+@query(
+    f"with {LINES_SQL}, got as (select path, line_no, line, regexp_extract(line, {_q(_NAMED_SQL)}, 1) as t from lines), "
+    f"said as (select path, line_no, left(trim(replace(line, t, {_REDACTED})), 200) as snippet from got where t <> '') "
+    "select path as file, line_no as line, substr(sha256(lower(path) || '|' || line_no || '|secret|' || lower(left(regexp_replace(snippet, '\\s+', '', 'g'), 60))), 1, 16) as dedup_key from said"
+)
+def secret_keys(spark, sf_dir):
+    found = secret_findings(corpus(spark, sf_dir)).where("rule_id = 'hardcoded-secret-assignment'")
+    return dedup(found).select("file", "line", "dedup_key")
+
+
+@query(
+    "select 'A-' || p_partkey as rule_id, substr(sha256('k' || p_partkey || '/package-lock.json|dep|n' || p_partkey || '@1.0|A-' || p_partkey), 1, 16) as dedup_key from part"
+)
+def dependency_keys(spark, sf_dir):
+    found = sca.osv_findings(_table(spark, sf_dir, "part").select(F.expr(_OSV_JSON).alias("json")), "/t")
+    return dedup(found).select("rule_id", "dedup_key")
+
+
+#: (statuses of two engines, files, threshold or -1, degraded is allowed) and the exit code over findings of severity 2.
+_GATES = [
+    ("ok", "disabled", 1, -1, False, 0), ("error", "ok", 1, -1, False, 3), ("error", "ok", 1, -1, True, 0), ("unavailable", "ok", 1, -1, False, 0), ("unavailable", "ok", 1, 3, False, 3), ("unavailable", "ok", 1, 3, True, 0),
+    ("error", "ok", 1, 2, False, 1), ("ok", "ok", 0, 3, False, 3), ("ok", "ok", 0, 3, True, 0), ("disabled", "not-applicable", 1, 3, False, 3), ("ok", "not-applicable", 1, 3, False, 0), ("", "ok", 1, 3, False, 3),
+]
+
+
+@query(f"select i::int as i, code::int as exit_code from {_rows([(i, g[5]) for i, g in enumerate(_GATES)])} as t(i, code)")
+def gate_modes(spark, sf_dir):
+    rows = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("file"))
+    found = written(unfolded(rows, F.array(finding("aisec", 0, rule_id="r", title="t", severity=2, confidence=1, file=F.col("file"), line=F.lit(1), category="EXFIL"))))
+    out = None
+    for i, (one, two, files, threshold, degraded, _) in enumerate(_GATES):
+        status = spark.createDataFrame([("aisec", one, ""), ("sast", two, "")], "engine string, status string, detail string")
+        row = gate.exit_code(found, status, files, None if threshold < 0 else threshold, degraded).select(F.lit(i).alias("i"), "exit_code")
+        out = row if out is None else out.union(row)
+    return out
+
+
 @query()
 def full_scan(spark, sf_dir):
     return report.report_rows(findings_of(corpus(spark, sf_dir)))

@@ -29,10 +29,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/sparkward/{spark.sparkContext.applicationId}"
+
+
+def cleaned(spark: SparkSession) -> None:
+    """Delete what this application has written; nothing made from it can be read afterwards."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(conf).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and return it read back."""
+    """Write ``df`` to the shared folder as Parquet and return it read back; ``cleaned`` deletes all such tables."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkward/{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
