@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.cvss import band, base_score
 from ..functions.finding import finding, unfolded
 from ..functions.text import entropy, places, redact, split_lines
-from ..operators import file_rules, gate, sast, sca, suppress, triage
+from ..operators import code_patterns, file_rules, gate, sast, sca, suppress, triage
 from ..operators.interpret import dedup, filter_false_positives, ranked, summary
 from ..operators.line_rules import RULES, line_findings
 from ..operators.secrets import PROVIDERS, secret_findings
@@ -493,6 +493,19 @@ def dependency_keys(spark, sf_dir):
     return dedup(found).select("rule_id", "dedup_key")
 
 
+_CODE = [
+    ("py", "os.system(cmd + x)", "py-os-system-concat-approx"), ("py", "os.system(\"ls\")", ""), ("py", "h = hashlib.md5(b)", "py-weak-hash-approx"), ("js", "e.innerHTML = x", "js-innerhtml-approx"),
+    ("py", "prompt = \"use sk-" + "a1B2" * 5 + "\"", "ai-hardcoded-system-prompt-secret"), ("txt", "pickle.load(f)", ""),
+]
+
+
+@query(f"select p_partkey || '.' || kind as file, 2::int as line, rule as rule_id from part join {_rows([(k, *c) for k, c in enumerate(_CODE)])} as t(k, kind, text, rule) on p_partkey % {len(_CODE)} = k where rule <> ''")
+def code_pattern_hits(spark, sf_dir):
+    case = lambda at: f"case p_partkey % {len(_CODE)} " + " ".join(f"when {k} then {_q(c[at])}" for k, c in enumerate(_CODE)) + " end"
+    files = _made(_table(spark, sf_dir, "part"), f"p_partkey || '.' || {case(0)}", f"'import x\n' || {case(1)}")
+    return code_patterns.code_pattern_findings(files).select("file", "line", "rule_id")
+
+
 #: (statuses of two engines, files, threshold or -1, degraded is allowed) and the exit code over findings of severity 2.
 _GATES = [
     ("ok", "disabled", 1, -1, False, 0), ("error", "ok", 1, -1, False, 3), ("error", "ok", 1, -1, True, 0), ("unavailable", "ok", 1, -1, False, 0), ("unavailable", "ok", 1, 3, False, 3), ("unavailable", "ok", 1, 3, True, 0),
