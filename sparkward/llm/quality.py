@@ -25,10 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import written
+from .names import fresh
 
 SPACES = r"[\x20\x09-\x0D]+"
-#: Prefix of the columns that are added to a document on the way.
-OWN = "__quality_"
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts", "n_ended"]
 
 #: rule -> (rejects if, keeps if), over the features; otherwise it abstains. Most junk is bad in one way and
@@ -54,9 +53,9 @@ REJECTS_GOOD, REJECTS_BAD = (0.005, 0.0002, 0.01), (0.3, 0.01, 0.98)
 KEEPS, ABSTAINS = (0.5, 0.005, 0.98), 0.005
 
 
-def _with_features(docs: DataFrame) -> DataFrame:
-    """``docs`` with the features as columns named OWN + feature."""
-    o = OWN
+def _with_features(docs: DataFrame, own: str) -> DataFrame:
+    """``docs`` with the features as columns named after ``own``."""
+    o = own
     base = docs.withColumn(f"{o}t", F.coalesce(F.col("text").cast("string"), F.lit("")))
     base = base.withColumn(f"{o}w", F.array_remove(F.split(f"{o}t", SPACES), ""))
     base = base.withColumn(f"{o}l", F.filter(F.split(f"{o}t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
@@ -139,25 +138,27 @@ def _base_failed(prefix: str) -> Column:
     return F.expr(f"`{prefix}n_words` < 20 or 100 * `{prefix}n_repeat_words` > 30 * `{prefix}n_words`")
 
 
-def _model(scored: DataFrame) -> dict:
-    return fit(scored.groupBy(f"{OWN}votes").agg(F.count("*").alias("n")).withColumnRenamed(f"{OWN}votes", "votes"))
+def _model(scored: DataFrame, own: str) -> dict:
+    return fit(scored.groupBy(F.col(f"{own}votes").alias("votes")).agg(F.count("*").alias("n")))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the features, base_failed, posterior and kept, a row for each document."""
-    scored = written(_with_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text").withColumn(f"{OWN}votes", _votes(OWN)))
-    posterior = _posterior(f"{OWN}votes", _model(scored))
+    own = "__quality_"
+    scored = written(_with_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), own).drop("text").withColumn(f"{own}votes", _votes(own)))
+    posterior = _posterior(f"{own}votes", _model(scored, own))
     return scored.withColumn("posterior", posterior).select(
-        "doc_id", *[F.col(f"{OWN}{f}").alias(f) for f in FEATURES], _base_failed(OWN).alias("base_failed"), "posterior",
-        (~_base_failed(OWN) & (F.col("posterior") >= 0.5)).alias("kept"),
+        "doc_id", *[F.col(f"{own}{f}").alias(f) for f in FEATURES], _base_failed(own).alias("base_failed"), "posterior",
+        (~_base_failed(own) & (F.col("posterior") >= 0.5)).alias("kept"),
     )
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with the columns they came with; features are worked out twice rather than texts written."""
-    scored = _with_features(docs).withColumn(f"{OWN}votes", _votes(OWN))
+    own = fresh(docs, "quality")
+    scored = _with_features(docs, own).withColumn(f"{own}votes", _votes(own))
     # the row number keeps Catalyst from copying the features' expressions into the filter, over and over
-    scored = scored.withColumn(f"{OWN}row", F.monotonically_increasing_id())
-    posterior = _posterior(f"{OWN}votes", _model(scored))
-    good = (F.col(f"{OWN}row") >= 0) & ~_base_failed(OWN) & (posterior >= 0.5)
+    scored = scored.withColumn(f"{own}row", F.monotonically_increasing_id())
+    posterior = _posterior(f"{own}votes", _model(scored, own))
+    good = (F.col(f"{own}row") >= 0) & ~_base_failed(own) & (posterior >= 0.5)
     return scored.where(good).select(*[F.col(f"`{c}`") for c in docs.columns])

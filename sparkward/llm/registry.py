@@ -9,8 +9,16 @@ from pyspark.sql import functions as F
 
 from . import chat, licenses, lines, neighbours, packing, quality, simhash, unigram, urls
 
-#: Folder of the public tokenizers' vocabulary files.
-TOKENIZERS = os.environ.get("SPARKWARD_TOKENIZERS", "/opt/tokenizers")
+
+
+def vocabulary(name: str) -> str:
+    """A vocabulary file of the public tokenizers, from the folder that SPARKWARD_TOKENIZERS names or the installed package."""
+    folder = os.environ.get("SPARKWARD_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +43,7 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +51,7 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unigram.count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return unigram.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +59,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unigram.encoding_report(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return unigram.encoding_report(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

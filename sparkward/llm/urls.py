@@ -40,7 +40,7 @@ from ..plans.shared import written
 
 ORDERS, PRIOR, FALSE_REJECTS = 6, 4.0, 0.01
 #: Bytes of counts that are broadcast (24 for an n-gram), and URLs of a batch where they are not.
-BROADCAST, BATCH = 96 << 20, 4096
+BROADCAST, BATCH = 32 << 20, 4096
 #: (verdict, rule as host and path).
 RULES = [
     ("block", "com/en/"),
