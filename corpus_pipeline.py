@@ -25,7 +25,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: pieces of token sequences."""
-    return packing.pack(docs, f"{registry.TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack(docs, registry.vocabulary("word_bpe_49k.json"))
 
 
 STAGES = [("quality", keep_good), ("line dedup", cut_boilerplate), ("near-dedup", keep_one), ("packing", pack)]
