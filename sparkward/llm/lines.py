@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import written
+from ..plans.shared import broadcast_if_small, written
 from .names import fresh
 
 MIN_SITES, INLINE = 8, 50_000
@@ -70,10 +70,13 @@ def _cleaned(docs: DataFrame, own: str, min_sites: int, inline: int) -> DataFram
     docs = docs.withColumn("text", F.col("text").cast("string"))
     site = F.coalesce(F.col("source").cast("string"), F.lit("\0"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    same = [F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("u"), F.length("text").alias("chars")]
-    found = written(docs.select(key.alias("key"), site.alias("site"), *same, _hashes("text").alias("lines")))
-    texts = found.groupBy("t", "u", "chars").agg(F.min("site").alias("site"), F.first("lines").alias("lines"))
-    marked = written(boilerplate(written(texts.select("site", F.explode("lines").alias("line"))), min_sites))
+    text = [F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("u"), F.coalesce(F.length("text"), F.lit(-1)).alias("chars")]
+    found = written(docs.select(key.alias("key"), site.alias("site"), *text, _hashes("text").alias("lines")))
+    # copies speak for one site; which is only looked up for texts that repeat, so that lines stay where they are
+    same = ["t", "u", "chars"]
+    repeated = found.groupBy(*same).agg(F.min("site").alias("first_site"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    sited = found.join(broadcast_if_small(written(repeated)), same, "left").select(F.coalesce("first_site", "site").alias("site"), "lines")
+    marked = written(boilerplate(sited.select("site", F.explode("lines").alias("line")), min_sites))
     few = marked.limit(inline + 1).collect()
     if len(few) <= inline:
         values = [r.line for r in few]
