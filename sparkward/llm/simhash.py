@@ -22,11 +22,12 @@ fingerprints ``PRINTS`` of those, each covered to radius 4 (31 tables), give the
 candidates, and their exact similarity decides. A similar pair within the radius
 in one of them always ends in one component; a similar pair that is beyond it in
 all of them may not be found (README has the measured share). Buckets of up to ``SMALL``
-texts give all their pairs. A text in larger ones is first compared with one other, the first text
-of most of its buckets, which joins most of a large group of near copies in linear size. Where that leaves
+texts give all their pairs. A text in larger ones is first compared with the centres of most of its
+buckets, which joins most of a large group of near copies in linear size. Where that leaves
 more than one component in a bucket, all its texts go through an exact join of their
 shingle sets by prefixes: shingles are ordered from rare to common, and two sets of
-the similarity share one among the first fifth of each. Pairs of one component need
+the similarity share one among the first fifth of each, and parities of 256 classes of shingles differ in no
+more places than the sets may. Pairs of one component need
 no comparison, so a group of near copies is not listed pair by pair, and no pair of a
 bucket, however large, is left out.
 
@@ -46,6 +47,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
 from ..operators.components import connected_components
@@ -141,7 +143,7 @@ def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
     )
 
 
-SMALL, RADIUS, SIMILARITY, SHINGLE = 4, 4, 0.8, 5
+SMALL, STARS, RADIUS, SIMILARITY, SHINGLE = 4, 2, 4, 0.8, 5
 #: Rows of a table of keys (32 bytes each at most) that are broadcast; beyond it they are joined by a shuffle.
 MANY_KEYS = 300_000
 #: (words, seed) of the fingerprints of distinct shingles that find candidates.
@@ -177,7 +179,7 @@ def _candidates(nodes: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     more = written(rows.join(_small(crowded), "key"))
     few = more.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("cls")).alias("x"))
     few = few.select(F.explode(F.expr("flatten(transform(x, (p, i) -> transform(slice(x, i + 2, size(x)), q -> struct(p as u, q as v))))")).alias("p")).select("p.u", "p.v")
-    stars = _modes(more.where(F.col("n") > SMALL).select("u", F.col("cls").alias("v")))
+    stars = _stars(more.where(F.col("n") > SMALL).select("key", "cls"))
     pairs = sizes.where("n = 2").select("u", "v").union(few).union(stars).where("u < v").distinct()
     left = nodes.select(F.col("cls").alias("u"), *[F.col(n).alias(f"u_{n}") for n in names])
     right = nodes.select(F.col("cls").alias("v"), *[F.col(n).alias(f"v_{n}") for n in names])
@@ -185,10 +187,25 @@ def _candidates(nodes: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     return pairs.join(left, "u").join(right, "v").where(apart <= radius).select("u", "v"), more.where(F.col("n") > SMALL).select("key", "cls")
 
 
-def _modes(pairs: DataFrame) -> DataFrame:
-    """(u, v) pairs with repeats -> for each v, the u that it is paired with most often: as many rows as texts."""
-    often = pairs.where("u <> v").groupBy("v", "u").agg(F.count("*").alias("n"))
-    return often.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u")).select("u", "v")
+def _stars(members: DataFrame, similarity: float | None = None) -> DataFrame:
+    """(key, cls) -> pairs (u, v): each text with the centres of most of its keys, ``STARS`` of them at most.
+
+    A key's centre is its member that has the most company in all of its keys. What a group
+    of copies was made from is nearer to them than they are to each other, so it
+    has the most company and joins them, in as many pairs as there are texts. With a similarity,
+    members have n, pos and root, and only pairs of different roots that can have it count.
+    """
+    more = ["n", "pos", "root"] if similarity else []
+    crowd = members.groupBy("key").agg(F.count("*").alias("crowd"))
+    company = _small(written(members.join(_small(written(crowd)), "key").groupBy("cls").agg(F.sum("crowd").alias("company"))))
+    centre = F.max_by(F.struct("cls", *more), F.struct("company", -F.col("cls")))
+    centres = _small(written(members.join(company, "cls").groupBy("key").agg(centre.alias("c")).select("key", F.col("c.cls").alias("u"), *[F.col(f"c.{m}").alias(f"u_{m}") for m in more])))
+    met = members.join(centres, "key").where(F.col("u") != F.col("cls"))
+    if similarity:
+        met = met.withColumnsRenamed({"u_n": "m", "u_pos": "qos"}).where(F.col("root") != F.col("u_root")).where(_may_be(similarity))
+    often = met.groupBy(F.col("cls").alias("v"), "u").agg(F.count("*").alias("often"))
+    first = Window.partitionBy("v").orderBy(F.desc("often"), "u")
+    return often.withColumn("r", F.row_number().over(first)).where(F.col("r") <= STARS).select("u", "v")
 
 
 def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -219,6 +236,29 @@ def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     return written(rows.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9)))
 
 
+PARITIES = [f"p{i}" for i in range(4)]
+
+
+def _parities(sets: DataFrame) -> DataFrame:
+    """(cls, grams) -> (cls, p0, ..., p3): whether the shingles with each of 256 remainders are odd in number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            odd = [np.bincount(np.frombuffer(g, "<u4") & 255, minlength=256) & 1 for g in b.column(1).to_pylist()]
+            words = np.packbits(np.array(odd, np.uint8).reshape(-1, 256), axis=1, bitorder="little").view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(words[:, i]) for i in range(4))], names=["cls", *PARITIES])
+
+    return sets.select("cls", "grams").mapInArrow(run, "cls long, " + ", ".join(f"{n} long" for n in PARITIES))
+
+
+def _can_be(similarity: float) -> Column:
+    """Whether parities p0 to p3 and q0 to q3 allow the similarity: every odd bit between them is a shingle that only one set of ``n`` or ``m`` has."""
+    odd = F.lit(0)
+    for n in PARITIES:
+        odd = odd + F.bit_count(F.col(n).bitwiseXOR(F.col(n.replace("p", "q"))))
+    return odd <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("m")) + 1e-9
+
+
 def _may_be(similarity: float) -> Column:
     """Whether sets of ``n`` and ``m`` shingles that first meet at places ``pos`` and ``qos`` can have the similarity."""
     most = F.greatest(F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("qos")), F.lit(0))
@@ -231,16 +271,16 @@ def _settled(found: DataFrame, members: DataFrame, sets: DataFrame, similarity:
     open_ = written(_mixed(members, roots).select("cls").distinct())
     if not open_.limit(1).count():
         return roots
-    rows = _prefixes(sets.join(_small(open_), "cls", "left_semi"), similarity)
-    # once with the first text of most of its shingles, in linear size, then all pairs of different components
-    mixed = _mixed(rows, roots)
-    firsts = _small(written(mixed.groupBy("key").agg(F.min(F.struct("cls", "n", "pos", "root")).alias("f")).select("key", F.col("f.cls").alias("u"), F.col("f.n").alias("m"), F.col("f.pos").alias("qos"), F.col("f.root").alias("other"))))
-    stars = _modes(mixed.join(firsts, "key").where(F.col("root") != F.col("other")).where(_may_be(similarity)).select("u", F.col("cls").alias("v")))
+    wanted = written(sets.join(_small(open_), "cls", "left_semi"))
+    rows = _prefixes(wanted, similarity)
+    # once with the centres of most of its shingles, in linear size, then all pairs of different components
+    mixed = written(_mixed(rows, roots))
+    stars = _stars(mixed, similarity)
     found = written(found.union(_verified(stars, sets, similarity)))
     roots = written(connected_components(found))
-    mixed = written(_mixed(rows, roots))
-    others = mixed.select("key", F.col("cls").alias("v"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("root").alias("other"))
-    rest = mixed.join(others, (mixed["key"] == others["key"]) & (F.col("cls") < F.col("v")) & (F.col("root") != F.col("other")) & _may_be(similarity))
+    mixed = written(_mixed(rows, roots).join(_small(written(_parities(wanted))), "cls"))
+    others = mixed.select("key", F.col("cls").alias("v"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("root").alias("other"), *[F.col(n).alias(n.replace("p", "q")) for n in PARITIES])
+    rest = mixed.join(others, (mixed["key"] == others["key"]) & (F.col("cls") < F.col("v")) & (F.col("root") != F.col("other")) & _may_be(similarity) & _can_be(similarity))
     more = written(_verified(rest.select(F.col("cls").alias("u"), "v").distinct(), sets, similarity))
     return connected_components(found.union(more)) if more.limit(1).count() else roots
 
