@@ -25,8 +25,8 @@ from collections.abc import Iterator
 Filling = tuple[tuple[int, int], ...]
 Plan = list[tuple[int, Filling]]
 
-#: Nodes of a descent, branches of a node, fillings looked at for a branch, descents for a goal, goals above the lower bound.
-NODES, WIDTH, LOOKS, DESCENTS, GOALS = 4000, 8, 32, 4, 2
+#: Nodes of a descent, branches of a node, fillings looked at for a branch, descents for a goal, goals from the lower bound up.
+NODES, WIDTH, LOOKS, DESCENTS, GOALS = 4000, 8, 32, 2, 1
 
 
 def lower_bound(histogram: dict[int, int], capacity: int) -> int:
@@ -81,6 +81,9 @@ def _reach(sizes: list[int], counts: list[int], room: int) -> list[int]:
     sums = 1
     for i in range(len(sizes) - 1, -1, -1):
         s = sizes[i]
+        if sums >> s == within >> s:  # every sum from here on is reached: longer pieces add none
+            out[: i + 1] = [sums] * (i + 1)
+            break
         left, k = min(counts[s], room // s), 1
         while left:
             k = min(k, left)

@@ -17,6 +17,7 @@ columns of the input are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,10 +30,12 @@ from ..plans.shared import numbered, written
 from .bins import NODES, Plan, solve
 
 CAPACITY = 2048
-#: Entries of each of the two generations of a worker's known chunks (together about 150 MB), and the longest chunk kept.
-KNOWN, LONGEST = 1 << 18, 48
+#: Entries of each of the two generations of a worker's known chunks (together about 80 MB), and the longest chunk kept.
+KNOWN, LONGEST = 1 << 17, 48
 #: Marks that end a word, and the first letter whose lower case is left to the tokenizer (U+0250).
 MARKS, PLAIN = ".,;:!?", "\u0250"
+#: Byte-level models spell bytes that print as themselves, and the others, in order, from U+0100 on.
+SPELT = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
 class ChunkIds(dict):
@@ -40,7 +43,8 @@ class ChunkIds(dict):
 
     The tokenizer cuts at white space before it merges, so a text's ids are
     those of its chunks in a row. It also lowers letters and cuts between a
-    letter or digit and a mark, so that "Word," needs only "word" and ",".
+    letter or digit and a mark, so that "Word," needs only "word" and ",", and a
+    lower-case word of plain letters goes to the tokenizer's model as it is, its bytes spelt as the model's letters.
     The table is two generations of bounded size, the older of which is dropped when the younger is full.
     """
 
@@ -49,16 +53,18 @@ class ChunkIds(dict):
 
         super().__init__({"": b""})
         self._older: dict[str, bytes] = {}
-        self._encode = Tokenizer.from_file(path).encode
+        self._tokenizer = Tokenizer.from_file(path)
+        self._encode, self._model = self._tokenizer.encode, self._tokenizer.model.tokenize
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self._older.get(chunk)
         if ids is not None:
             pass
-        elif len(chunk) > 1 and chunk[-1] in MARKS and chunk[-2].isalnum() and chunk[-2] < PLAIN:
+        elif len(chunk) > 1 and chunk[-1] in MARKS and chunk[-2].lower().isalnum() and chunk[-2] < PLAIN:  # a dotted capital I ends in a mark when lowered
             ids = self[chunk[:-1]] + self[chunk[-1]]
-        elif chunk.isalpha() and max(chunk) < PLAIN and (low := chunk.lower()) != chunk:
-            ids = self[low]
+        elif chunk.isalpha() and max(chunk) < PLAIN:
+            low = chunk.lower()
+            ids = self[low] if low != chunk else array("I", [t.id for t in self._model(chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(SPELT))]).tobytes()
         else:
             ids = np.asarray(self._encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         if len(chunk) <= LONGEST:

@@ -11,7 +11,7 @@ import pytest
 
 from sparkward.llm import bins, licenses, lines, packing, quality, registry, unigram
 
-BPE, PIECES = f"{registry.TOKENIZERS}/word_bpe_49k.json", f"{registry.TOKENIZERS}/piece_bpe_32k.model"
+BPE, PIECES = registry.vocabulary("word_bpe_49k.json"), registry.vocabulary("piece_bpe_32k.model")
 needs_files = pytest.mark.skipif(not os.path.exists(BPE), reason="no tokenizer files")
 ODD = [None, "", " \n\t", "a", "word " * 30_000, "x" * 70_000, "é ß 日本 😀", "it's O'Neil, won't!", "<|endoftext|> <|startoftext|>", "a　b\x1cc\x85d", "É́ é", "\r\nline\r\n", "K İ ſ DON'T. A.B.C., 3.14;"]
 
@@ -39,6 +39,17 @@ def test_pieces_are_the_tokenizers(docs):
         assert ends <= 2048
 
 
+@needs_files
+def test_words_of_every_plain_letter_are_the_tokenizers(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "KNOWN", 50)  # chunks come back from the older generation, or are found again
+    encode, ids = Tokenizer.from_file(BPE).encode, packing.ChunkIds(BPE)
+    for c in map(chr, range(0x21, 0x260)):
+        text = f"{c} ab{c}cd {c.upper()}e, {c * 3}. the word the WORD"
+        assert ids.text(text) == np.asarray(encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 @needs_files
 def test_packing_an_empty_table_and_equal_rows(docs):
     assert packing.pack(docs(), BPE).count() == 0
@@ -128,6 +139,38 @@ def test_quality_features_by_hand(docs, rows_of):
     assert all(got[i].kept for i in range(len(texts) - 40, len(texts))) and not got[len(ODD) + 2].kept
 
 
+def test_quality_verdicts_follow_the_posterior(docs, rows_of):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    good = [" ".join(word() for _ in range(40)).capitalize() + "." for _ in range(40)]
+    bad = ["#$% " * 12 + " ".join(word() for _ in range(30)) + "!!!!" for _ in range(6)] + [" ".join(word().upper() for _ in range(30)) for _ in range(4)]
+    got = list(rows_of(quality.judge(docs(*good, *bad, None, "few words"))).values())
+    names = list(quality.RULES)
+
+    def vote(row, rule):  # the rules' conditions are Python as they stand
+        rejects, keeps = (re.sub(r"(?<![<>=])=(?!=)", "==", x).replace("false", "False") for x in quality.RULES[rule])
+        values = row.asDict()
+        return -1 if eval(rejects, {}, values) else 1 if eval(keeps, {}, values) else 0
+
+    votes = [tuple(vote(r, n) for n in names) for r in got]
+    m = slow_fit(list(collections.Counter(votes).items()))
+
+    def like(v, r, keep):
+        return np.prod([a if x < 0 else b if x > 0 else max(quality.ABSTAINS, 1 - a - b) for x, a, b in zip(v, r, keep, strict=True)])
+
+    for r, v in zip(got, votes, strict=True):
+        g, b = m["p"] * like(v, m["gr"], m["gk"]), (1 - m["p"]) * like(v, m["br"], m["bk"])
+        assert abs(r.posterior - g / (g + b)) < 1e-6 and r.kept == (not r.base_failed and g >= b)
+    assert all(r.kept for r in got[:40]) and not any(r.kept for r in got[40:])
+
+
+def test_quality_stage_whatever_the_columns_and_very_long(spark):
+    text = " ".join(f"Plain{i} words" for i in range(30)) + "."
+    frame = spark.createDataFrame([(1, text, "t", "w", 5), (2, "bad", "t", "w", 6), (3, "word and another one. " * 30_000, "t", "w", 7)], "doc_id long, text string, __quality_t string, `__QUALITY_w` string, votes int")
+    assert [tuple(r) for r in quality.keep_good(frame).collect()] == [(1, text, "t", "w", 5)]
+    assert quality.keep_good(frame.limit(0)).columns == frame.columns
+
+
 def slow_fit(patterns):
     """The same expectation-maximisation in plain Python."""
     k = len(quality.RULES)
