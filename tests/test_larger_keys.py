@@ -1,8 +1,17 @@
 """Queries against their SQL on rows that the smallest tables do not have, and plans that larger tables need."""
 
+import itertools
+import math
+
 import duckdb
+from pyspark.sql import functions as F
 
+from sparkward.functions.text import entropy
+from sparkward.operators.secrets import PROVIDERS, secret_hits
 from sparkward.plans import registry
+from sparkward.plans.specimens import CREDENTIALS
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_cvss_bands_match_their_sql_where_a_metric_is_unknown(spark, tmp_path):
@@ -11,3 +20,26 @@ def test_cvss_bands_match_their_sql_where_a_metric_is_unknown(spark, tmp_path):
     con.execute(f"create view part as select * from read_parquet('{tmp_path}/part.parquet')")
     want = con.execute(registry.ORACLES["cvss_bands"]).fetchall()
     assert sorted(tuple(r) for r in registry.QUERIES["cvss_bands"](spark, str(tmp_path)).collect()) == sorted(want) and any("A:X" in r[1] for r in want)
+
+
+def test_lines_are_matched_once_with_credentials_and_by_many_tasks(spark):
+    found = registry.QUERIES["provider_catalogue"](spark, SF)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("dop_v1_[a-f0-9]{64}") == 1
+    assert found.rdd.getNumPartitions() > 1
+
+
+def test_entropy_of_repeated_and_astral_characters(spark):
+    words = ["a", "aab", "a😀😀b", "aAbB", "password = x"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select(entropy(F.col("w"))).collect()
+    assert [round(r[0], 12) for r in got] == [round(-sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w)), 12) + 0.0 for w in words]
+    # a split for each character, inside a lambda, took most of the time of a match
+    plan = spark.createDataFrame([("x",)], "w string").select(entropy(F.col("w")).alias("bits"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1
+
+
+def test_words_of_credentials_lose_no_match(spark):
+    parts = [*CREDENTIALS.values(), "AWS_SECRET = " + CREDENTIALS["aws-secret-access-key"][-41:], "POSTGRES" + "://u:s3cr3tPw9@h/x", "no secret here"]
+    rows = spark.createDataFrame([(i, f"{a} {b}") for i, (a, b) in enumerate(itertools.product(parts, parts))], "i int, line string")
+    bare = [p._replace(words=()) for p in PROVIDERS]
+    hits = lambda providers: rows.select("i", secret_hits(providers).alias("h")).where(F.size("h") > 0).collect()
+    assert hits(PROVIDERS) == hits(bare) and len(hits(bare)) > 500
