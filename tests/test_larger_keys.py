@@ -4,6 +4,7 @@ import itertools
 import math
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from sparkward.functions.text import entropy
@@ -43,3 +44,9 @@ def test_words_of_credentials_lose_no_match(spark):
     bare = [p._replace(words=()) for p in PROVIDERS]
     hits = lambda providers: rows.select("i", secret_hits(providers).alias("h")).where(F.size("h") > 0).collect()
     assert hits(PROVIDERS) == hits(bare) and len(hits(bare)) > 500
+
+
+@pytest.mark.parametrize("name", ["dependency_keys", "sca_package_agg"])
+def test_reports_made_of_a_small_file_are_spread_before_they_are_read(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan and plan.index("from_json") < plan.index("Repartition")
