@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkward.functions.text import entropy
-from sparkward.operators.secrets import PROVIDERS, secret_hits
+from sparkward.operators.secrets import PROVIDERS, is_dummy, secret_hits
 from sparkward.plans import registry
 from sparkward.plans.specimens import CREDENTIALS
 
@@ -50,3 +50,13 @@ def test_words_of_credentials_lose_no_match(spark):
 def test_reports_made_of_a_small_file_are_spread_before_they_are_read(spark, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" in plan and plan.index("from_json") < plan.index("Repartition")
+
+
+def test_credentials_are_those_of_the_plain_patterns(spark):
+    parts = [*CREDENTIALS.values(), "AWS_SECRET = " + CREDENTIALS["aws-secret-access-key"][-41:], "-----BEGIN PGP " + "PRIVATE KEY BLOCK-----", "x" * 31]
+    rows = spark.createDataFrame([(i, f"{a} {b}") for i, (a, b) in enumerate(itertools.product(parts, parts))], "i int, line string")
+    plain = F.array(*[F.size(F.filter(F.array_distinct(F.regexp_extract_all("line", F.lit(p.pattern), F.lit(1))), lambda t: ~is_dummy(t))) for p in PROVIDERS])
+    count = lambda k: F.size(F.filter(F.col("h"), lambda h: h["i"] == k))
+    n = [count(k) for k in range(len(PROVIDERS))]
+    got = rows.select("line", secret_hits().alias("h"), plain.alias("want")).where(F.array(*n) != F.col("want"))
+    assert [r.line for r in got.collect()] == []
