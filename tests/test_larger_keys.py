@@ -4,14 +4,18 @@ import itertools
 import math
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkward.functions.text import entropy
-from sparkward.operators.line_rules import line_findings
-from sparkward.operators.secrets import LONG, PROVIDERS, RUN, is_dummy, secret_hits
+from sparkward.functions.search import finder
+from sparkward.functions.text import entropy, split_lines
+from sparkward.operators.file_rules import mixed_words, odd_held, unicode_facts
+from sparkward.operators.line_rules import RULES, line_findings, words_held
+from sparkward.operators.secrets import LONG, PROVIDERS, RUN, is_dummy, secret_hits, signs_held
+from sparkward.operators.suppress import has_docstrings, line_label, line_labels
 from sparkward.plans import registry, scan
-from sparkward.plans.specimens import CREDENTIALS, corpus
+from sparkward.plans.specimens import CREDENTIALS, SPECIMENS, corpus
 from sparkward.sources.files import from_table
 
 SF = "/root/testdata/sf0.001"
@@ -84,3 +88,49 @@ def test_runs_of_token_characters_are_those_of_a_plain_search(spark):
     plain = F.col("line").rlike(r"[A-Za-z0-9+/_\-]{32}")
     assert rows.where(F.col("line").rlike(RUN) != plain).count() == 0 and rows.where(plain).count() > 300
     assert rows.where(F.col("line").rlike(LONG) & ~F.col("line").rlike(RUN)).count() == 0
+
+
+def test_words_of_rules_are_found_in_one_search_of_a_text():
+    bits = [w for r in RULES for g in r.needs for w in g] + ["", "\u0131gnore", "di\u017fregard", "\u0130gnore", "to\u212aen", "é\u212a", "x" * 40]
+    texts = ["".join(p) for p in itertools.product(["", "é ", "A"], bits, [" prompt: the \u212a", "|YOU|CURL", "$("])]
+
+    def folded(text: str) -> str:
+        low = text.lower().replace("\u017f", "s").replace("\u0131", "i")
+        return low.replace("i\u0307", "i")
+
+    want = [[i for i, r in enumerate(RULES) if all(any(w in folded(t) for w in g) for g in r.needs)] for t in texts]
+    assert finder(words_held())(pa.array(texts)).to_pylist() == want and sum(map(len, want)) > 500
+    # nulls, no tests, and bytes that are no UTF-8
+    assert finder(words_held())(pa.array([None, ""], pa.string())).to_pylist() == [[], []] and finder([(), ("a",)])(pa.array([None, "a"])).to_pylist() == [[0], [0, 1]]
+    assert finder([("a",), ("b",)])(pa.array([b"\xff\xfea", b"\xc3b"], pa.binary()).view(pa.string())).to_pylist() == [[0], [1]]
+
+
+def test_no_line_is_lost_with_the_texts_that_hold_no_sign_of_it(spark):
+    parts = [*CREDENTIALS.values(), *(t for _, t in SPECIMENS.values()), "PASSWORD \x0b=\x0b'hG7#kQ2!vX9@'", "api-key': \"hG7#kQ2!vX9@\"", "\u1e9ep\u0430y", "a\u00adb", "x\U000e0041", "plain"]
+    texts = parts + [f"first\n{a}\r\n{b}" for a, b in zip(parts, parts[1:], strict=False)]
+    rows = spark.createDataFrame([(f"{i}.txt", t) for i, t in enumerate(texts)], "path string, text string")
+    files = from_table(rows, F.col("path"), F.col("text"))
+    lines = files.select("path", F.explode(split_lines("text")).alias("line"))
+    of = lambda c: {r.path for r in lines.where(c).select("path").distinct().collect()}
+    want = of(F.size(secret_hits()) > 0) | of(F.size(F.coalesce(mixed_words(), F.array().cast("array<string>"))) > 0)
+    odd = of(unicode_facts()["tags"].isNotNull())
+    tests = odd_held() + signs_held()
+    held = {f"{i}.txt": h for i, h in enumerate(finder(tests)(pa.array(texts)).to_pylist())}
+    assert all(held[p] for p in want) and all(1 in held[p] for p in odd) and len(want) > 60 and len(odd) > 6
+    assert {r.path for r in scan._marked(files, ("secrets", "aisec")).select("path").collect()} >= want | odd
+
+
+def test_a_pass_over_many_words_is_one_search(spark, monkeypatch):
+    monkeypatch.setattr(scan, "written", lambda df: df)
+    plan = scan._marked(corpus(spark, SF), ("secrets", "aisec"))._jdf.queryExecution().optimizedPlan().toString()
+    # the words of all rules were looked for one by one in the whole text, and every line of every text was split off
+    assert "ArrowEvalPython" in plan and "folded_text" not in plan
+
+
+def test_labels_of_asked_lines_are_those_of_the_walk(spark):
+    texts = ["# a\nx = 1  # b\n'# c'", "// a\n<!-- b", '"""\n# a\n"""\nx', "x = 1", "\'\'\'a\'\'\'\n#"]
+    rows = [(f"f{i}.{s}", t) for i, t in enumerate(texts) for s in ("py", "pyi", "js", "md", "txt", "sh")]
+    files = spark.createDataFrame(rows, "path string, text string").withColumn("lines", split_lines("text"))
+    alone = F.array_join(F.transform("lines", lambda x: line_label(x, F.col("path"))), "")
+    seen = files.select("path", line_labels(F.col("lines"), F.col("path")).alias("want"), alone.alias("got"), has_docstrings(F.col("text"), F.col("path")).alias("walked")).collect()
+    assert all(r.walked or r.got == r.want for r in seen) and sum(r.walked for r in seen) == 4
