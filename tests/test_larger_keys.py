@@ -9,13 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkward.functions.search import finder, line_finder
-from sparkward.functions.text import entropy, split_lines
+from sparkward.functions.text import entropy, java, split_lines
 from sparkward.operators import sca
 from sparkward.operators.file_rules import mixed_words, odd_held, unicode_facts
 from sparkward.operators.interpret import dedup
 from sparkward.operators.line_rules import RULES, line_findings, words_held
 from sparkward.operators.secrets import LONG, PROVIDERS, RUN, is_dummy, secret_hits, signs_held
-from sparkward.operators.suppress import has_docstrings, line_label, line_labels
+from sparkward.operators.suppress import FRAME, FRAME_WORDS, has_docstrings, line_label, line_labels
 from sparkward.plans import registry, scan
 from sparkward.plans.specimens import CREDENTIALS, SPECIMENS, corpus
 from sparkward.sources.files import from_table
@@ -213,3 +213,14 @@ def test_a_scan_writes_no_texts_but_those_that_are_read_whole(spark, monkeypatch
     assert sorted(other.findings.collect()) == got and sorted(other.status.collect()) == sorted(done.status.collect())
     reasons = {r.filter_reason for r in got}
     assert len(got) > 30 and all(any(x in r for r in reasons) for x in ("quoted", "docstring", "in a comment", "pattern or a name", "ignore marker"))
+
+
+def test_frames_have_the_words_that_are_looked_for_first(spark):
+    says = ["all of it are all data", "is all data", "read as data", "are data", "is data", "never a source of instruction", "not a source of instructions", "not a direction to follow", "not an instruction",
+            "not instructions", "do not follow", "never follow", "must not follow", "mention it in your report", "treat all of it as untrusted", "treat it as not instructions", "an object of study", "not a command"]
+    cases = [x for s in says for x in (s, s.upper(), s.replace("s", "\u017f"), s.replace("k", "\u212a"), f"x {s}, y", s + "x", "x" + s, s.replace(" ", "  "))]
+    rows = spark.createDataFrame([(x,) for x in cases], "t string")
+    got = rows.select(F.col("t").rlike(java(FRAME)).alias("framed"), F.col("t").rlike(java(FRAME_WORDS)).alias("hint")).collect()
+    assert all(r.hint for r in got if r.framed) and sum(r.framed for r in got) > 80
+    # an injection itself has none of them: where a word of its own was enough, every one of them was asked for the frame
+    assert not rows.limit(1).select(F.lit("ignore all previous instruc" + "tions").rlike(java(FRAME_WORDS))).first()[0]
